@@ -56,6 +56,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def few(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A narrow table to join with texts: broadcast if it has at most ``most`` rows, else joined by a shuffle.
+
+    ``keys`` must be written, as its rows are counted first.
+    """
+    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
+
+
 def schema_of(df: DataFrame, id_col: str, fields: str) -> T.StructType:
     """A schema of the id column as ``df`` has it, then ``fields`` (DDL)."""
     return T.StructType([T.StructField(id_col, df.schema[id_col].dataType, True), *T.StructType.fromDDL(fields).fields])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, word_count
+from .common import Table, few, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -133,16 +133,19 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     All columns are kept. Rows that repeat id and text are numbered, so each meets its own takes.
     """
-    mixed = Table(mix(df, id_col, text_col, source_col).select(F.col(id_col).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), "takes", "positions"), "mixed").df
+    mixed = mix(df, id_col, text_col, source_col).withColumn("_mix_row", F.monotonically_increasing_id())
+    each = F.explode(F.arrays_zip("takes", "positions")).alias("_mix")
+    passes = mixed.select(F.col(id_col).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), "_mix_row", each)
+    passes = passes.select("_mix_id", "_mix_hash", "_mix_size", "_mix_row", F.col("_mix.takes").alias("_mix_take"), F.col("_mix.positions").alias("_mix_at"))
+    passes = Table(passes, "passes").df
     rows, on = df.withColumn("_mix_own", F.xxhash64(text_col)), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash"))
-    if not mixed.groupBy("_mix_id", "_mix_hash").count().where("count > 1").isEmpty():
-        number = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(keys[0]))
-        mixed = mixed.withColumn("_mix_n", number("_mix_id", "_mix_hash"))
-        rows = rows.withColumn("_mix_row", number(id_col, "_mix_own"))
-        on &= F.col("_mix_n") == F.col("_mix_row")
-    passes = mixed.select(*(c for c in mixed.columns if c.startswith("_mix")), F.explode(F.arrays_zip("takes", "positions")).alias("_mix_take")).where("_mix_take.takes > 0")
-    cut = F.when(F.col("_mix_take.takes") < F.col("_mix_size"), _first_words(F.col(text_col), F.col("_mix_take.takes"))).otherwise(F.col(text_col))
-    return rows.join(passes, on).withColumn(text_col, cut).orderBy("_mix_take.positions", id_col).select(df.columns)
+    if not passes.groupBy("_mix_id", "_mix_hash").agg(F.countDistinct("_mix_row").alias("n")).where("n > 1").isEmpty():
+        passes = passes.withColumn("_mix_n", F.dense_rank().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_row")))
+        rows = rows.withColumn("_mix_k", F.row_number().over(W.partitionBy(id_col, "_mix_own").orderBy(id_col)))
+        on &= F.col("_mix_n") == F.col("_mix_k")
+    cut = F.when(F.col("_mix_take") < F.col("_mix_size"), _first_words(F.col(text_col), F.col("_mix_take"))).otherwise(F.col(text_col))
+    passes = passes.where("_mix_take > 0").drop("_mix_row")
+    return rows.join(few(passes), on).withColumn(text_col, cut).orderBy("_mix_at", id_col).select(df.columns)
 
 
 TAKEN_SQL = """

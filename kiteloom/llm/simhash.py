@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, hex64, id_and_text, raw_texts, schema_of, slices
+from .common import Table, few, hex64, id_and_text, raw_texts, schema_of, slices
 from .components import components
 
 #: Nodes pairs of the trie that one step of the traversal holds at once.
@@ -221,9 +221,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stays. Rows that repeat an id count as one document, of which one row stays.
     """
     found = Table(near_duplicates(df.select(id_col, text_col), id_col, text_col), "groups").df
-    copies = found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    kept = df.join(copies, id_col, "left_anti")
+    copies = Table(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies").df
+    kept = df.join(few(copies), id_col, "left_anti")
     again = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
     if again.isEmpty():
-        return kept
+        return kept.select(df.columns)
     return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(df.columns)
