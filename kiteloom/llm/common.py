@@ -33,9 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Table:
-    """A written intermediate table: lineage ends here, and lost executors cost a re-read only."""
+    """A written intermediate table: lineage ends here, and lost executors cost a re-read only.
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    ``narrow`` says that rows are few bytes each, made by as many tasks as texts
+    need: they are then merged to files of the advisory size before writing.
+    """
+
+    def __init__(self, df: DataFrame, name: str, narrow: bool = False) -> None:
+        df = df.hint("rebalance") if narrow else df
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/kiteloom/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)

@@ -106,7 +106,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(as_edited & (F.col("canon") == F.col("edited_canon")), 1.0).otherwise(0.0).alias("near_edited"),
         F.when(as_next & (F.col("canon") == F.col("next_canon")), 1.0).otherwise(0.0).alias("near_next"),
     )
-    return told_apart(Table(found, "fingerprints").df, own, id_col)
+    return told_apart(Table(found, "fingerprints", narrow=True).df, own, id_col)
 
 
 def told_apart(found: DataFrame, own: DataFrame, id_col: str, broadcast_rows: int = 1 << 20) -> DataFrame:
@@ -117,7 +117,7 @@ def told_apart(found: DataFrame, own: DataFrame, id_col: str, broadcast_rows: in
     bucket only the least and greatest text leave a task, so its size is no matter.
     """
     again = found.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    members = Table(found.join(again, "fingerprint", "left_semi").where(F.col(id_col).isNotNull()).select(id_col).distinct(), "members").df
+    members = Table(found.join(again, "fingerprint", "left_semi").where(F.col(id_col).isNotNull()).select(id_col).distinct(), "members", narrow=True).df
     few = members.count() <= broadcast_rows
     texts = own.join(F.broadcast(members) if few else members.hint("merge"), id_col, "left_semi")
     texts = canonical(texts, "text", "canon").select(id_col, "canon", wide_digest(F.col("canon")).alias("fingerprint"))

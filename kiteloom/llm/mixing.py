@@ -102,7 +102,7 @@ def mix(
     gives none; other columns are ignored. Only ids, sources and sizes are shuffled.
     """
     own = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"))
-    own = Table(own.withColumn("digest", F.md5(F.col("id").cast("string").cast("binary"))), "sizes").df
+    own = Table(own.withColumn("digest", F.md5(F.col("id").cast("string").cast("binary"))), "sizes", narrow=True).df
     dealt = targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(cap))
     shaped = dealt.withColumn("segments", F.element_at(F.array(*(_segments(s) for s in schedules)), (F.col("rank") % len(schedules) + 1).cast("int")))
     placed = running_total(own, "source", ["digest", "id", "size", "hash"], "size", "before")
@@ -131,13 +131,15 @@ def _first_words(text: Column, words: Column) -> Column:
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them, in training order: a row for each pass, texts cut where a target is reached.
 
-    All columns are kept. Rows that repeat id and text are numbered, so each meets its own takes.
+    All columns are kept. Rows that repeat id and text are numbered, so each meets
+    its own takes. Texts without words, null ones among them, are never taken; a
+    null id is met by its text; an empty table gives no rows.
     """
     mixed = mix(df, id_col, text_col, source_col).withColumn("_mix_row", F.monotonically_increasing_id())
     each = F.explode(F.arrays_zip("takes", "positions")).alias("_mix")
     passes = mixed.select(F.col(id_col).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), "_mix_row", each)
     passes = passes.select("_mix_id", "_mix_hash", "_mix_size", "_mix_row", F.col("_mix.takes").alias("_mix_take"), F.col("_mix.positions").alias("_mix_at"))
-    passes = Table(passes, "passes").df
+    passes = Table(passes, "passes", narrow=True).df
     rows, on = df.withColumn("_mix_own", F.xxhash64(text_col)), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash"))
     if not passes.groupBy("_mix_id", "_mix_hash").agg(F.countDistinct("_mix_row").alias("n")).where("n > 1").isEmpty():
         passes = passes.withColumn("_mix_n", F.dense_rank().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_row")))

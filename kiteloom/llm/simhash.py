@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Table, few, hex64, id_and_text, raw_texts, schema_of, slices
 from .components import components
 
-#: Nodes pairs of the trie that one step of the traversal holds at once.
+#: Node pairs of the tries that one step of the traversal holds at once.
 FRONTIER = 1 << 19
 
 
@@ -205,7 +205,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and takes its group's least id, null if there is none; repeated rows stay
     repeated; an empty table gives none; other columns are ignored.
     """
-    own = Table(fingerprints(df, id_col, text_col, width), "fingerprints").df.withColumnRenamed(id_col, "id")
+    own = Table(fingerprints(df, id_col, text_col, width), "fingerprints", narrow=True).df.withColumnRenamed(id_col, "id")
     first = own.groupBy("fp").agg(F.min("id").alias("least"))
     stars = components(trie_links(first.select("fp"), budget))
     grouped = first.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -219,8 +219,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     All columns are kept. A row with a null id can't be named by a decision and
     stays. Rows that repeat an id count as one document, of which one row stays.
+    Null, empty and wordless texts are one group; an empty table gives no rows.
     """
-    found = Table(near_duplicates(df.select(id_col, text_col), id_col, text_col), "groups").df
+    found = Table(near_duplicates(df.select(id_col, text_col), id_col, text_col), "groups", narrow=True).df
     copies = Table(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies").df
     kept = df.join(few(copies), id_col, "left_anti")
     again = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, id_and_text, raw_texts, schema_of, slices
+from .common import Table, few, id_and_text, raw_texts, schema_of, slices
 
 #: Bytes of the strings that anchors are chosen from: a power of two.
 GRAM = 32
@@ -291,18 +291,13 @@ def _named_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """
     for salt in range(16):
         own = id_and_text(df, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(salt), text_col).alias("doc"))
-        table = Table(own.select("id", "doc", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes")), "texts").df
+        table = Table(own.select("id", "doc", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes")), "texts", narrow=True).df
         clash = table.groupBy("doc").agg(F.min("sha256").alias("l"), F.max("sha256").alias("m")).where("l <> m")
         if clash.isEmpty():
             return own, table
     raise RuntimeError("no salt keeps all texts apart")
 
 
-def _few(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """Broadcast if there are at most ``most`` rows (two longs each), else joined by a shuffle."""
-    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
-
-
 def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", group_limit: int = 20_000) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of repeated strings.
 
@@ -336,7 +331,7 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     wanted = distinct.join(groups, "anchor").select("anchor", "at.*", "large")
     lists = Table(wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "windows", "large")).alias("wanted")), "wanted").df
     one_row = lists.select("doc").join(copies.select("doc", "id"), "doc")
-    texts = own.join(_few(one_row), own["doc"].eqNullSafe(one_row["doc"]) & own["id"].eqNullSafe(one_row["id"]), "left_semi")
+    texts = own.join(few(one_row), own["doc"].eqNullSafe(one_row["doc"]) & own["id"].eqNullSafe(one_row["id"]), "left_semi")
     texts = texts.select("doc", "text").join(lists, "doc")
 
     def cut(large: bool) -> DataFrame:
@@ -351,7 +346,7 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     found = whole.union(runs).join(again.select("doc"), "doc", "left_anti")
     found = Table(found.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs").df
 
-    touched = own.join(_few(found.select("doc")), "doc", "left_semi").join(found, "doc").select(F.col("id").alias(id_col), "text", "runs")
+    touched = own.join(few(found.select("doc")), "doc", "left_semi").join(found, "doc").select(F.col("id").alias(id_col), "text", "runs")
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     done = touched.mapInArrow(_kept(id_col), schema_of(touched, id_col, fields))
     rest = table.join(found.select("doc"), "doc", "left_anti").join(again.select("doc", "n"), "doc", "left")

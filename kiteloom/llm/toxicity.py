@@ -236,7 +236,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, id_col: str
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose text isn't predicted toxic, all columns kept; a null text isn't."""
+    """The rows whose text isn't predicted toxic, all columns kept. A null text counts as empty; repeated rows share their fate; an empty table stays empty."""
 
     @F.pandas_udf("boolean")
     def keep(text):
