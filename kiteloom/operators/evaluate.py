@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiteloom.functions import metrics as M
@@ -62,10 +62,16 @@ def remaining(sample: DataFrame, done: DataFrame, key: str = "record_id") -> Dat
     return sample.join(done.select(key).distinct(), key, "left_anti")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals rows out evenly: adaptive execution joins them to few tasks by their bytes, while counting n-grams takes about a millisecond a row."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def scored(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(record_id, system, chrf, bleu, own columns): statistics of each row, with what rates need."""
     p, t, s = (X.metric_text(F.col(c)) for c in ("prediction", "target", "source"))
-    clean = rows.select("record_id", "system", *keep, p.alias("p"), t.alias("t"), s.alias("s"))
+    clean = spread(rows).select("record_id", "system", *keep, p.alias("p"), t.alias("t"), s.alias("s"))
     return clean.select(
         "record_id",
         "system",
@@ -103,15 +109,21 @@ def by_length(stats: DataFrame) -> DataFrame:
     return sums.select("length_bucket", "system", "sentences", F.round(M.chrf_score(F.col("a")), 4).alias("chrfpp"))
 
 
+def exact_mean(score: str, digits: int = 4) -> Column:
+    """Mean of scores that have ``digits`` decimals, to as many: summed as whole numbers, so ties round alike in any order of rows."""
+    unit = 10**digits
+    return F.round(F.sum(F.round(F.col(score) * unit).cast("long")) / F.count(score)) / unit
+
+
 def bands(sentences: DataFrame, low: float = 30.0, high: float = 80.0) -> DataFrame:
     """(system, below, from_high, mean): how many sentences score under ``low`` and at ``high`` or above."""
-    return sentences.groupBy("system").agg(F.count_if(F.col("chrfpp") < low).alias("below"), F.count_if(F.col("chrfpp") >= high).alias("from_high"), F.round(F.avg("chrfpp"), 4).alias("mean"))
+    return sentences.groupBy("system").agg(F.count_if(F.col("chrfpp") < low).alias("below"), F.count_if(F.col("chrfpp") >= high).alias("from_high"), exact_mean("chrfpp").alias("mean"))
 
 
 def cohorts(sentences: DataFrame, longer: float = 1.5) -> DataFrame:
     """(cohort, system, sentences, mean): references at least ``longer`` times their source in characters, and the others."""
     name = F.when(F.length("target") >= F.length("source") * longer, "longer_reference").otherwise("similar_length")
-    return sentences.groupBy(name.alias("cohort"), "system").agg(F.count("*").alias("sentences"), F.round(F.avg("chrfpp"), 4).alias("mean"))
+    return sentences.groupBy(name.alias("cohort"), "system").agg(F.count("*").alias("sentences"), exact_mean("chrfpp").alias("mean"))
 
 
 def deltas(sentences: DataFrame, base: str, system: str) -> DataFrame:

@@ -12,6 +12,7 @@ from kiteloom.functions import metrics as M
 from kiteloom.functions import text as X
 from kiteloom.operators import clean, evaluate, history, split, summary
 from kiteloom.sources import readers
+from kiteloom.sources.shared import settled
 
 from .inputs import CASCADE, DOC_RULES, PREDICTIONS, TURN_PAIRS, WS, cascade, chrf_counts, chrf_formula, doc_pairs, predictions, table, turn_pairs
 
@@ -173,7 +174,8 @@ map AS (SELECT g AS group_id, split FROM dealt WHERE k > 0)"""
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.kept(cascade(spark, sf_dir), "en", "de", "documents")
+    """Clean pairs, written once: a split reads them to size groups, to deal them and to join."""
+    return settled(clean.kept(cascade(spark, sf_dir), "en", "de", "documents"), "pairs")
 
 
 @query(_FOLD + " SELECT record_id, group_id, split FROM pairs JOIN map USING (group_id)")
@@ -253,7 +255,7 @@ def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir)
+    rows = evaluate.spread(predictions(spark, sf_dir))
     return rows.select("record_id", "system", "source", "target", M.chrf_stats(X.metric_text(F.col("prediction")), X.metric_text(F.col("target"))).alias("chrf")).withColumn("chrfpp", F.round(M.chrf_score(F.col("chrf")), 4)).drop("chrf")
 
 
@@ -286,7 +288,7 @@ logs AS (SELECT system, any_value(every) AS every, sum(ln(CASE WHEN m = 0 THEN 1
 sizes AS (SELECT system, sum(len(w)) FILTER (side = 'h')::DOUBLE AS a, sum(len(w)) FILTER (side = 'r')::DOUBLE AS b FROM sides GROUP BY system)
 SELECT system, round(CASE WHEN every = 0 THEN 0 ELSE CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(l) END, 4) AS bleu FROM logs JOIN sizes USING (system)""")
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = predictions(spark, sf_dir).select("system", M.bleu_word_stats("prediction", "target").alias("bleu"))
+    stats = evaluate.spread(predictions(spark, sf_dir)).select("system", M.bleu_word_stats("prediction", "target").alias("bleu"))
     return stats.groupBy("system").agg(M.summed(F.col("bleu"), M.BLEU_COUNT).alias("b")).select("system", F.round(M.bleu_score(F.col("b")), 4).alias("bleu"))
 
 
@@ -365,12 +367,12 @@ def representative_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.representative(_deltas(spark, sf_dir), "delta", "chrfpp_system", "record_id", 8)
 
 
-@query(f"WITH {_SENTENCES} SELECT system, count(*) FILTER (chrfpp < 30) AS below, count(*) FILTER (chrfpp >= 80) AS from_high, round(avg(chrfpp), 4) AS mean FROM sentences GROUP BY system")
+@query(f"WITH {_SENTENCES} SELECT system, count(*) FILTER (chrfpp < 30) AS below, count(*) FILTER (chrfpp >= 80) AS from_high, round(sum(round(chrfpp * 10000)::BIGINT)::DOUBLE / count(*)) / 10000 AS mean FROM sentences GROUP BY system")
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bands(_sentences(spark, sf_dir))
 
 
-@query(f"""WITH {_SENTENCES} SELECT CASE WHEN length(target) >= length(source) * 1.5 THEN 'longer_reference' ELSE 'similar_length' END AS cohort, system, count(*) AS sentences, round(avg(chrfpp), 4) AS mean
+@query(f"""WITH {_SENTENCES} SELECT CASE WHEN length(target) >= length(source) * 1.5 THEN 'longer_reference' ELSE 'similar_length' END AS cohort, system, count(*) AS sentences, round(sum(round(chrfpp * 10000)::BIGINT)::DOUBLE / count(*)) / 10000 AS mean
 FROM sentences GROUP BY ALL""")
 def score_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.cohorts(_sentences(spark, sf_dir))

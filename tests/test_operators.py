@@ -8,7 +8,7 @@ from kiteloom.functions import text as X
 from kiteloom.operators import clean, evaluate, history, split, summary, translate
 
 PAIRS = "raw_row_number int, record_id string, group_id string, source string, target string"
-GOOD = "भिली शब्द आहे"
+GOOD = "भाषा शब्द है"
 
 
 def pairs(spark, rows):
@@ -20,7 +20,7 @@ def reasons(df, rules=clean.Rules()):
 
 
 def test_reasons_and_lossless_audit(spark):
-    df = pairs(spark, [(GOOD, "मराठी शब्द"), (GOOD, "मराठी  शब्द"), (".", "मराठी"), ("latin only", "मराठी शब्द"), ("दुसरा शब्द", "एक गोष्ट"), ("दुसरा शब्द", "दोन गोष्टी")])
+    df = pairs(spark, [(GOOD, "हिंदी शब्द"), (GOOD, "हिंदी  शब्द"), (".", "हिंदी"), ("latin only", "हिंदी शब्द"), ("दुसरा शब्द", "एक गोष्ट"), ("दुसरा शब्द", "दोन गोष्टी")])
     assert reasons(df) == ["", "exact_duplicate_pair", "source_too_short", "low_source_script_ratio"] + ["conflicting_source_translation"] * 2
     rows = clean.cascade(df)
     audited = clean.audit(rows).collect()
@@ -30,23 +30,23 @@ def test_reasons_and_lossless_audit(spark):
 
 
 def test_first_rule_wins_and_bounds_are_kept(spark):
-    rows = [("", ""), (GOOD, ""), ("क", "x"), (GOOD, "x"), ("abc", "मराठी"), ("क" * 5, "म" * 20), ("क" * 40, "म" * 20), ("क" * 4, "म" * 20), ("क" * 41, "म" * 20), (None, None)]
+    rows = [("", ""), (GOOD, ""), ("क", "x"), (GOOD, "x"), ("abc", "हिंदी"), ("क" * 5, "म" * 20), ("क" * 40, "म" * 20), ("क" * 4, "म" * 20), ("क" * 41, "म" * 20), (None, None)]
     assert reasons(pairs(spark, rows)) == ["empty_source", "empty_target", "source_too_short", "target_too_short", "low_source_script_ratio", "", "", "extreme_length_ratio", "extreme_length_ratio", "empty_source"]
 
 
 def test_dropped_rows_make_neither_conflicts_nor_first_copies(spark):
     long = "म" * 60
-    assert reasons(pairs(spark, [(GOOD, long), (GOOD, "मराठी शब्द"), (GOOD, "मराठी शब्द")])) == ["extreme_length_ratio", "", "exact_duplicate_pair"]
+    assert reasons(pairs(spark, [(GOOD, long), (GOOD, "हिंदी शब्द"), (GOOD, "हिंदी शब्द")])) == ["extreme_length_ratio", "", "exact_duplicate_pair"]
     keep = clean.Rules(drop_duplicates=False)
-    assert reasons(pairs(spark, [(GOOD, "मराठी शब्द")] * 2), keep) == ["", ""]
+    assert reasons(pairs(spark, [(GOOD, "हिंदी शब्द")] * 2), keep) == ["", ""]
 
 
 def test_normalized_before_compared(spark):
-    assert reasons(pairs(spark, [("क़ शब्द", "मराठी शब्द"), ("क़​ शब्द", " मराठी शब्द ")])) == ["", "exact_duplicate_pair"]
+    assert reasons(pairs(spark, [("क़ शब्द", "हिंदी शब्द"), ("क़​ शब्द", " हिंदी शब्द ")])) == ["", "exact_duplicate_pair"]
 
 
 def test_invariants(spark):
-    clean.require_clean(clean.kept(clean.cascade(pairs(spark, [(GOOD, "मराठी शब्द")])), "a", "b", "c"))
+    clean.require_clean(clean.kept(clean.cascade(pairs(spark, [(GOOD, "हिंदी शब्द")])), "a", "b", "c"))
     with pytest.raises(ValueError, match="no pair"):
         clean.require_clean(pairs(spark, []))
     with pytest.raises(ValueError, match="conflicting source"):
@@ -58,7 +58,7 @@ def test_invariants(spark):
 
 
 def test_a_hot_pair(spark):
-    rows = [(GOOD, "मराठी शब्द")] * 400 + [("", "x")] * 300 + [(f"शब्द {i} कक", "मराठी शब्द") for i in range(50)]
+    rows = [(GOOD, "हिंदी शब्द")] * 400 + [("", "x")] * 300 + [(f"शब्द {i} कक", "हिंदी शब्द") for i in range(50)]
     found = reasons(pairs(spark, rows))
     assert found.count("") == 51 and found.count("exact_duplicate_pair") == 399 and found.count("empty_source") == 300
 
