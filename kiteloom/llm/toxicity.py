@@ -30,6 +30,8 @@ SEED_WORDS = {"idiot": 1.0, "moron": 1.0, "stupid": 0.5, "worthless": 0.5, "path
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "class clown", "clown fish", "rodeo clown", "sore loser", "idiot proof", "stupid simple")
 _HIDDEN = re.compile("[­͏​-‏⁠-⁤️﻿]")
 _WORD = re.compile(r"[^\W\d_]{3,24}")
+#: The same with digits inside, which may stand for letters.
+_MIXED = re.compile(r"(?=\d*[^\W\d_])[^\W_]{3,24}")
 
 
 @lru_cache(maxsize=1)
@@ -57,7 +59,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """Folded words, stems (word beginnings in lower case), folded exception phrases, and the score's coefficients."""
+    """Folded words, stems (word beginnings in their commonest spelling, folded when matched), folded exception phrases, and the score's coefficients."""
 
     words: tuple[tuple[str, float], ...]
     stems: tuple[tuple[str, float], ...]
@@ -69,9 +71,11 @@ class Model:
         text = reveal(text)
         if not text:
             return 0.0, 0.0
-        found = list(_matches(matcher(self.words, self.exceptions), text, fold(text), whole=True)) if self.words else []
-        total = sum(w for s, e, w in found if w and not any(not x and a <= s and e <= b for a, b, x in found))
-        stems = sum(w for *_, w in _matches(matcher(self.stems, ()), text, text.lower(), whole=False)) if self.stems else 0.0
+        folded = fold(text)
+        found = list(_matches(matcher(self.words, self.exceptions), text, folded, whole=True)) if self.words else []
+        begun = list(_matches(matcher(_folded(self.stems), ()), text, folded, whole=False)) if self.stems else []
+        excepted = [(s, e) for s, e, w in found if not w]
+        total, stems = (sum(w for s, e, w in of if w and not any(a <= s and e <= b for a, b in excepted)) for of in (found, begun))
         return total, 600 * (total + stems) / (60 + len(text))
 
     def score(self, text: str) -> float:
@@ -80,6 +84,11 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+@lru_cache(maxsize=8)
+def _folded(stems: tuple[tuple[str, float], ...]) -> tuple[tuple[str, float], ...]:
+    return tuple((fold(s), w) for s, w in stems)
+
+
 @lru_cache(maxsize=8)
 def matcher(words: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]):
     """The automaton: entries carry length and weight; exception phrases weigh nothing."""
@@ -150,10 +159,15 @@ def _stems(toxic: list[str], clean: list[str], most: int, least_ratio: float) ->
 
     Those that gain most come first; one that extends or begins another that has been taken is left out.
     """
-    occurs, size, texts_with = (Counter(), Counter()), [1, 1], Counter()
+    occurs, size, texts_with, spelt = (Counter(), Counter()), [1, 1], Counter(), {}
     for side, group in ((1, toxic), (0, clean)):
         for text in group:
-            words = Counter(_WORD.findall(reveal(text).lower()))
+            plain = Counter(_MIXED.findall(reveal(text).lower()))
+            words = Counter()
+            for word, n in plain.items():
+                words[fold(word)] += n
+                for k in range(3, min(8, len(word)) + 1) if side else ():
+                    spelt.setdefault(fold(word[:k]), Counter())[word[:k]] += n
             size[side] += sum(words.values())
             own = Counter()
             for word, n in words.items():
@@ -172,7 +186,7 @@ def _stems(toxic: list[str], clean: list[str], most: int, least_ratio: float) ->
     for stem in sorted(gain, key=lambda s: (-gain[s][0], -len(s), s)):
         if len(taken) < most and not any(stem.startswith(t) or t.startswith(stem) for t in taken):
             taken[stem] = round(gain[stem][1], 6)
-    return tuple(sorted(taken.items()))
+    return tuple(sorted((min(spelt[s], key=lambda x: (-spelt[s][x], x)), w) for s, w in taken.items()))
 
 
 def _logistic(a: np.ndarray, b: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
