@@ -25,7 +25,9 @@ class Encoder:
 
     With ``ranks_file``, the same vocabulary as ranks, plain texts go through the
     faster library; texts with a special token's string or characters outside
-    Latin and general punctuation go through ``tokenizers`` itself.
+    Latin and general punctuation go through ``tokenizers`` itself, and so do
+    texts at which the faster one gives up: its pattern matcher fails on about a
+    million white-space characters in a row.
     """
 
     def __init__(self, vocab_file: str, ranks_file: str | None = None) -> None:
@@ -43,7 +45,10 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast and not any(s in text for s in self.special) and (text.isascii() or not _PLAIN.search(text)):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # the matcher's stack is exhausted
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
