@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -74,8 +75,8 @@ class Model:
         folded = fold(text)
         found = list(_matches(matcher(self.words, self.exceptions), text, folded, whole=True)) if self.words else []
         begun = list(_matches(matcher(_folded(self.stems), ()), text, folded, whole=False)) if self.stems else []
-        excepted = [(s, e) for s, e, w in found if not w]
-        total, stems = (sum(w for s, e, w in of if w and not any(a <= s and e <= b for a, b in excepted)) for of in (found, begun))
+        excepted = _outermost([(s, e) for s, e, w in found if not w])
+        total, stems = (_outside([m for m in of if m[2]], excepted) for of in (found, begun))
         return total, 600 * (total + stems) / (60 + len(text))
 
     def score(self, text: str) -> float:
@@ -112,6 +113,23 @@ def _matches(automaton, text: str, folded: str, whole: bool) -> Iterator[tuple[i
             yield start, end, weight
 
 
+def _outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other one, by start; their ends rise as well."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
+def _outside(matches: list[tuple[int, int, float]], spans: list[tuple[int, int]]) -> float:
+    """The weight of the matches that lie in none of the outermost ``spans``: only the last one that starts no later can hold a match."""
+    if not spans:
+        return sum(w for *_, w in matches)
+    starts = [s for s, _ in spans]
+    return sum(w for first, last, w in matches if not (at := bisect_right(starts, first)) or spans[at - 1][1] < last)
+
+
 def fit(texts: list[str], labels: list[int], most: int = 200, least_share: float = 0.1, least_precision: float = 0.95, least_ratio: float = 20.0) -> Model:
     """Learns the lexicon and the coefficients.
 
