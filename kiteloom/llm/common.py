@@ -61,12 +61,28 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
-def few(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """A narrow table to join with texts: broadcast if it has at most ``most`` rows, else joined by a shuffle.
+def few(keys: DataFrame, most: int = 1 << 20, most_bytes: int = 48 << 20) -> DataFrame:
+    """A narrow table to join with texts: broadcast if it has at most ``most`` rows and ``most_bytes``, else joined by a shuffle.
 
-    ``keys`` must be written, as its rows are counted first.
+    ``keys`` must be written, as its rows and the bytes of its values are counted first.
     """
-    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
+    plain = lambda f: isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))
+    varying = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in keys.schema.fields if not plain(f)]
+    width = sum(varying, F.lit(8 * len(keys.columns)).cast("long"))
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(keys) if rows <= most and size <= most_bytes else keys.hint("merge")
+
+
+def kept_rows(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that the written ``found`` (id, hash, first, n) keeps: those with a null id, and one of the n equal rows that are a group's first."""
+    rows = df.withColumn("_own_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    named = lambda part, name: Table(part.select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")), name, narrow=True).df
+    on = (F.col(id_col) == F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    kept = rows.join(few(named(found.where("NOT first"), "copies")), on, "left_anti")
+    again = named(found.where("first AND n > 1"), "again")
+    if not again.isEmpty():
+        kept = kept.join(few(again), on, "left_anti").union(kept.join(few(again), on, "left_semi").dropDuplicates([id_col, "_own_hash"]))
+    return kept.select(df.columns)
 
 
 def schema_of(df: DataFrame, id_col: str, fields: str) -> T.StructType:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, few, hex64, id_and_text, raw_texts, schema_of, slices
+from .common import Table, hex64, id_and_text, kept_rows, raw_texts, schema_of, slices
 from .components import components
 
 #: Node pairs of the tries that one step of the traversal holds at once.
@@ -28,13 +28,16 @@ def simhash(raw: bytes, width: int = 3, seed: int = 42) -> int:
     if len(words) <= width:
         return digest(joined, seed)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    count = len(words) - width + 1
-    hashes = np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip(starts, starts[width:])), np.uint64, count)
+    return majority(np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip(starts, starts[width:])), np.uint64, len(words) - width + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of 64-bit hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8)
         ones += np.unpackbits(part).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -196,6 +199,14 @@ def trie_links(fps: DataFrame, budget: int = 2, trie_limit: int = 1 << 16) -> Da
     return joined(routed.join(large, "head", "left_anti"), 32).union(joined(deeper.select("fp", inner.alias("head"), "r.rest"), 16))
 
 
+def _rooted(fps: DataFrame, budget: int, id_col: str) -> DataFrame:
+    """(fp, root, component_id) of a written table with ids and fps."""
+    first = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    stars = components(trie_links(first.select("fp"), budget))
+    grouped = first.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return grouped.select("fp", "root").join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``df``.
 
@@ -203,28 +214,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the least id that links reach. A null or wordless text has
     fingerprint zero and is linked as any other; a row with a null id keeps it
     and takes its group's least id, null if there is none; repeated rows stay
-    repeated; an empty table gives none; other columns are ignored.
+    repeated; an empty table gives none; other columns are ignored. Texts are
+    read whole, in a few bytes of memory for each of their words.
     """
-    own = Table(fingerprints(df, id_col, text_col, width), "fingerprints", narrow=True).df.withColumnRenamed(id_col, "id")
-    first = own.groupBy("fp").agg(F.min("id").alias("least"))
-    stars = components(trie_links(first.select("fp"), budget))
-    grouped = first.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return own.join(found, "fp").select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    own = Table(fingerprints(df, id_col, text_col, width), "fingerprints", narrow=True).df
+    found = own.join(_rooted(own, budget, id_col).select("fp", "component_id"), "fp")
+    return found.select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each group the document with the least id, once.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of ``df`` that stay: of each group the row with the least id, one of equal ones.
 
-    All columns are kept. A row with a null id can't be named by a decision and
-    stays. Rows that repeat an id count as one document, of which one row stays.
+    All columns are kept. Groups are those of fingerprints, so rows of one id
+    with different texts are decided each by itself, told apart by their texts'
+    64-bit hashes. A row with a null id can't be named by a decision and stays.
     Null, empty and wordless texts are one group; an empty table gives no rows.
     """
-    found = Table(near_duplicates(df.select(id_col, text_col), id_col, text_col), "groups", narrow=True).df
-    copies = Table(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies").df
-    kept = df.join(few(copies), id_col, "left_anti")
-    again = found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
-    if again.isEmpty():
-        return kept.select(df.columns)
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(df.columns)
+    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    key = F.struct(F.col(id_col), F.xxhash64(text_col).alias("hash"))
+    own = Table(fingerprints(named.select(key.alias("key"), text_col), "key", text_col, width).select(f"key.{id_col}", "key.hash", "fp"), "fingerprints", narrow=True).df
+    rooted = _rooted(own, budget, id_col).select("fp", "root")
+    least = own.join(rooted, "fp").groupBy("root").agg(F.min(F.struct(id_col, "hash")).alias("at"))
+    found = own.join(rooted.join(least, "root"), "fp").groupBy(id_col, "hash").agg(F.max(F.struct(F.col(id_col), F.col("hash")) == F.col("at")).alias("first"), F.count("*").alias("n"))
+    return kept_rows(df, Table(found, "groups", narrow=True).df, id_col, text_col)
