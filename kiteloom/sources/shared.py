@@ -31,10 +31,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as on one machine, a temporary folder of this process."""
+    """``spark.checkpoint.dir``; where that is unset, on one machine, a temporary folder of this process.
+
+    On a cluster there is no such stand-in: executors would write where nobody else can read.
+    """
     for get in (spark.conf.get, spark.sparkContext.getConf().get):
         if found := get("spark.checkpoint.dir", None):
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="kiteloom-")
@@ -42,9 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends, and values drawn once stay."""
+def written(df: DataFrame, name: str, **options: str) -> str:
+    """Writes ``df`` as Parquet into the shared folder, under a name of its own. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kiteloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends, and values drawn once stay."""
+    spark, path = df.sparkSession, written(df, name)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -149,3 +150,25 @@ def test_pages():
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert settled(spark.range(5), "x").count() == 5
+
+
+def test_no_private_folder_off_one_machine(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kiteloom.sources import shared
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://there:7077", applicationId="app"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(cluster)
+    cluster.sparkContext.master = "local[2]"
+    assert Path(shared.shared_dir(cluster)).is_dir()
+
+
+def test_settled_tables_are_marked_for_deletion(spark):
+    from kiteloom.sources import shared
+
+    path = shared.written(spark.range(3).toDF("x"), "three")
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert place.getFileSystem(spark._jsc.hadoopConfiguration()).cancelDeleteOnExit(place)
