@@ -1,49 +1,28 @@
-"""What the corpus operators share: the shared folder, table cuts and batch helpers."""
+"""What the corpus operators share: written tables, table cuts and batch helpers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a temporary folder of
-    this process stands in.
-    """
-    for get in (spark.conf.get, spark.sparkContext.getConf().get):
-        if found := get("spark.checkpoint.dir", None):
-            return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="kiteloom-")
-        atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
-    return _OWN_FOLDERS[app]
-
+from ..sources.shared import written
 
 class Table:
     """A written intermediate table: lineage ends here, and lost executors cost a re-read only.
 
     ``narrow`` says that rows are few bytes each, made by as many tasks as texts
-    need: they are then merged to files of the advisory size before writing.
+    need: they are then merged to files of the advisory size before writing. The
+    files are deleted by ``drop``, or when the driver ends.
     """
 
     def __init__(self, df: DataFrame, name: str, narrow: bool = False) -> None:
         df = df.hint("rebalance") if narrow else df
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/kiteloom/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        self.path = written(df, name, compression="zstd")
         self.schema = self.spark.read.parquet(self.path).schema
 
     @property
