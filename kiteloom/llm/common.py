@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import written
 
+
 class Table:
     """A written intermediate table: lineage ends here, and lost executors cost a re-read only.
 
@@ -84,6 +86,25 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
             yield batch.slice(at, step)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], least: int = 50_000) -> Iterator[list[pa.Array]]:
+    """Columns of batches sorted by the first one, cut only where it changes."""
+    kept: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        kept.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(kept).combine_chunks()
+        key = table.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield [c.chunk(0) for c in table.slice(0, last).combine_chunks().columns]
+        kept, rows = table.slice(last).to_batches(), table.num_rows - last
+    if rows:
+        yield [c.chunk(0) for c in pa.Table.from_batches(kept).combine_chunks().columns]
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, without decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
