@@ -70,14 +70,15 @@ def pack(
     A document is its ids and ``end_id``. It is cut by the binary form of its
     length into pieces of a power of two up to ``longest``, which must be one
     itself. Each piece is one sequence without padding, so no sequence crosses
-    documents; bucket, the length's logarithm, gathers sequences of one shape.
-    ids holds little-endian unsigned 32-bit ids. sequence_id is unique, and the
-    same again for the same files. Null and empty texts are ``end_id`` alone;
+    documents; bucket is the length's logarithm. ids holds little-endian unsigned
+    32-bit ids. sequence_id is unique, the same again for the same files, and
+    numbers bucket by bucket, so a range of it holds one length. Texts are read
+    whole, in some 40 bytes of memory for each of their tokens. Null and empty texts are ``end_id`` alone;
     repeated rows are packed each; null ids pass through; an empty table gives
     no piece; other columns are ignored. The files must be on every executor.
     """
-    if longest < 1 or longest & (longest - 1):
-        raise ValueError("longest must be a power of two")
+    if longest < 1 or longest & (longest - 1) or longest > 1 << 31:
+        raise ValueError("longest must be a power of two, 2^31 at most")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocab_file, ranks_file).encode
@@ -97,9 +98,22 @@ def pack(
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids", "doc_tokens"])
 
     cut = id_and_text(df, id_col, text_col).mapInArrow(run, schema_of(df, id_col, "start long, length long, ids binary, doc_tokens long"))
-    return cut.select("*", F.round(F.log2("length")).cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    bucket = F.round(F.log2("length")).cast("int")
+    number = F.shiftleft(bucket.cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
+    return cut.select("*", bucket.alias("bucket"), number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+
+def gathered(pieces: DataFrame, id_col: str = "doc_id", spread: int = 1024) -> DataFrame:
+    """The rows of ``pieces``, sequences of one length next to each other in every partition, in the order of sequence_id.
+
+    A length's rows are dealt to ``spread`` places by their document and start,
+    so the commonest length goes to many tasks. Nulls, repeated rows and empty
+    tables pass through.
+    """
+    place = F.pmod(F.xxhash64(id_col, "start"), F.lit(spread))
+    return pieces.repartition("bucket", place).sortWithinPartitions("sequence_id")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Writes sequences in a folder for each length; every file then holds rows of one shape."""
+    """Writes sequences in a folder for each length; every file then holds rows of one shape. Repeated rows are written each; an empty table makes no folder."""
     pieces.write.partitionBy("bucket").parquet(path)
