@@ -132,7 +132,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents as the mix takes them, in training order: a row for each pass, texts cut where a target is reached.
 
     All columns are kept. Rows that repeat id and text are numbered, so each meets
-    its own takes. Texts without words, null ones among them, are never taken; a
+    its own takes; no other text goes through that window. Texts without words, null ones among them, are never taken; a
     null id is met by its text; an empty table gives no rows.
     """
     mixed = mix(df, id_col, text_col, source_col).withColumn("_mix_row", F.monotonically_increasing_id())
@@ -140,14 +140,21 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passes = mixed.select(F.col(id_col).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), "_mix_row", each)
     passes = passes.select("_mix_id", "_mix_hash", "_mix_size", "_mix_row", F.col("_mix.takes").alias("_mix_take"), F.col("_mix.positions").alias("_mix_at"))
     passes = Table(passes, "passes", narrow=True).df
-    rows, on = df.withColumn("_mix_own", F.xxhash64(text_col)), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash"))
-    if not passes.groupBy("_mix_id", "_mix_hash").agg(F.countDistinct("_mix_row").alias("n")).where("n > 1").isEmpty():
-        passes = passes.withColumn("_mix_n", F.dense_rank().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_row")))
-        rows = rows.withColumn("_mix_k", F.row_number().over(W.partitionBy(id_col, "_mix_own").orderBy(id_col)))
-        on &= F.col("_mix_n") == F.col("_mix_k")
+    rows = df.withColumn("_mix_own", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash"))
     cut = F.when(F.col("_mix_take") < F.col("_mix_size"), _first_words(F.col(text_col), F.col("_mix_take"))).otherwise(F.col(text_col))
-    passes = passes.where("_mix_take > 0").drop("_mix_row")
-    return rows.join(few(passes), on).withColumn(text_col, cut).orderBy("_mix_at", id_col).select(df.columns)
+    out = lambda met: met.withColumn(text_col, cut).select(*df.columns, "_mix_at")
+    again = passes.groupBy("_mix_id", "_mix_hash").agg(F.countDistinct("_mix_row").alias("n")).where("n > 1").select("_mix_id", "_mix_hash")
+    again = Table(again, "again", narrow=True).df
+    if again.isEmpty():
+        return out(rows.join(few(passes.where("_mix_take > 0")), same)).orderBy("_mix_at", id_col).select(df.columns)
+    own = F.col("_mix_id").eqNullSafe(F.col("_id")) & (F.col("_mix_hash") == F.col("_hash"))
+    pairs = again.select(F.col("_mix_id").alias("_id"), F.col("_mix_hash").alias("_hash"))
+    once = Table(passes.where("_mix_take > 0").join(pairs, own, "left_anti"), "once", narrow=True).df
+    numbered = passes.join(pairs, own, "left_semi").withColumn("_mix_n", F.dense_rank().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_row")))
+    repeats = rows.join(few(again), same, "left_semi").withColumn("_mix_k", F.row_number().over(W.partitionBy(id_col, "_mix_own").orderBy(id_col)))
+    more = repeats.join(numbered.where("_mix_take > 0"), same & (F.col("_mix_n") == F.col("_mix_k")))
+    return out(rows.join(few(once), same)).union(out(more)).orderBy("_mix_at", id_col).select(df.columns)
 
 
 TAKEN_SQL = """
