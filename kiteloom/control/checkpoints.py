@@ -106,17 +106,23 @@ def differences(a: Mapping[str, Any], b: Mapping[str, Any]) -> list[str]:
     return sorted(k for k in {*a, *b} if a.get(k, gone) != b.get(k, gone))
 
 
+def store_fingerprint(stored: str | Path, own: Mapping[str, Any]) -> None:
+    """Keeps the fingerprint of a run that begins; one that is there already raises ``FileExistsError``."""
+    if Path(stored).exists():
+        raise FileExistsError(f"a run has begun here: {stored}")
+    write_json(own, stored)
+
+
 def verify_resume(stored: str | Path, own: Mapping[str, Any], allow_extension: bool = False) -> int | None:
-    """Compares with the stored fingerprint, or stores this one.
+    """Compares the settings of a run that goes on with the fingerprint stored when it began.
 
-    Differences raise ``ValueError``. ``allow_extension`` permits a larger number
-    of steps and nothing else; the old number is then returned and the new
-    fingerprint stored.
+    Differences raise ``ValueError``, and so does a missing fingerprint: such a
+    run is of unknown origin. ``allow_extension`` permits a larger number of steps
+    and nothing else; the old number is then returned and the new fingerprint stored.
     """
     stored = Path(stored)
     if not stored.exists():
-        write_json(own, stored)
-        return None
+        raise ValueError(f"no fingerprint of the run to resume: {stored}")
     before = read_json(stored)
     changed = differences(before, json.loads(json.dumps(own, default=str)))
     if not changed:

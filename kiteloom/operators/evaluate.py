@@ -150,13 +150,14 @@ def comparisons(systems: Sequence[str], base: str = "base", primary: str = "tune
     return out + ([(s, primary) for s in others if s != primary] if primary in systems else [])
 
 
-def bootstrap_replicates(stats: DataFrame, base: str, system: str, samples: int, seed: int, small: int = 1 << 20) -> DataFrame:
+def bootstrap_replicates(stats: DataFrame, base: str, system: str, samples: int, seed: int, small: int = 1 << 16) -> DataFrame:
     """(replicate, delta): chrF++ of the candidate less the baseline's over draws with replacement, the same for both.
 
     Draw i of replicate b takes the record at a place given by the digest of seed,
     b and i. Draws are counted by replicate and place before any statistics are
     met, so that what joins is at most records times replicates small rows, and
-    sums are combined in each task. Statistics are broadcast up to ``small`` rows.
+    sums are combined in each task. Statistics, some 400 bytes a
+    record, are broadcast up to ``small`` rows.
     """
     both = stats.where(F.col("system").isin(base, system)).groupBy("record_id").agg(
         F.max(F.when(F.col("system") == base, F.col("chrf"))).alias("x"), F.max(F.when(F.col("system") == system, F.col("chrf"))).alias("y")

@@ -28,9 +28,15 @@ def fold(sizes: Sequence[tuple[str, int]], ratios: Mapping[str, float], seed: in
     return out
 
 
-def folded_by_hash(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, group: str = "group_id") -> DataFrame:
-    """(group, split): the same dealing in the order of the groups' digests, as one SQL fold over the table of groups."""
+def folded_by_hash(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, group: str = "group_id", most: int = 10_000) -> DataFrame:
+    """(group, split): the same dealing in the order of the groups' digests, as one SQL fold over the table of groups.
+
+    The fold is sequential and copies its result at each step, so its time grows
+    with the square of the number of groups; more than ``most`` raise ``ValueError``.
+    """
     sizes = group_sizes(pairs, group)
+    if (count := sizes.count()) > most:
+        raise ValueError(f"{count} groups, more than {most}: deal them by rng='ranges'")
     names = list(ratios)
     order = F.array_sort(F.collect_list(F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary")).alias("h"), F.col(group).alias("g"), "n")))
     state = F.struct(*(F.lit(0).cast("long").alias(f"have_{s}") for s in names), F.array().cast("array<string>").alias("dealt"))
@@ -56,7 +62,8 @@ def split_groups(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: i
 
     ``rng="reference"`` shuffles with Python's generator on the driver, where only
     groups and their sizes come; ``"hash"`` folds in SQL. Both deal one group after
-    the other, so they are for up to some millions of groups. ``"ranges"`` puts
+    the other: the first is for as many groups as fit the driver, the second for
+    up to 10,000. ``"ranges"`` puts
     a group where the hash of its name falls among the cumulated ratios: no
     table of groups at all, and balance by the law of large numbers. Fewer than
     three groups, or columns that are missing, raise ``ValueError``.

@@ -72,11 +72,11 @@ def name_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(~X.contains_any(F.col("p_name"), fragments)).select("p_partkey", "p_name")
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(substr(url, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS url,
+@query("""SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS url,
   replace(html, '</', '<\\/') AS script, array_extract(string_split(url, '/'), -1) AS last, CASE WHEN regexp_matches(url, '^(\\w+)://') THEN regexp_extract(url, '^(\\w+)://', 1) END AS scheme FROM pages""")
 def page_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(F.substring(url, 1, 200)).alias("url"), X.escape_script(F.col("html")).alias("script"), X.last_segment(url, "/").alias("last"), X.capture(url, "^(\\w+)://").alias("scheme"))
+    return table(spark, sf_dir, "pages").select("page_id", X.escape_html(url).alias("url"), X.escape_script(F.col("html")).alias("script"), X.last_segment(url, "/").alias("last"), X.capture(url, "^(\\w+)://").alias("scheme"))
 
 
 @query(f"WITH {TURN_PAIRS} SELECT record_id FROM turn_pairs WHERE contains(lower(source), 'the') OR contains(lower(target), 'the')")
@@ -213,11 +213,11 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "e.event_id", "e.event_type", "e.value")
 
 
-_PARTIAL = PREDICTIONS + ", part AS (SELECT * FROM predictions WHERE NOT (system = 'tuned_700' AND length(source) % 3 = 0))"
+_PARTIAL = PREDICTIONS + ", part AS (SELECT * FROM predictions WHERE NOT (system = 'tuned_700' AND length(target) < length(source)))"
 
 
 def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).where(~((F.col("system") == "tuned_700") & (F.length("source") % 3 == 0)))
+    return predictions(spark, sf_dir).where(~((F.col("system") == "tuned_700") & (F.length("target") < F.length("source"))))
 
 
 @query(f"WITH {_PARTIAL} SELECT record_id, system, prediction FROM part WHERE record_id IN (SELECT record_id FROM part GROUP BY record_id HAVING count(DISTINCT system) = (SELECT count(DISTINCT system) FROM part))")
@@ -235,12 +235,13 @@ def test_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.sample(_clean(spark, sf_dir), 300, 42).select("record_id", "source", "sample_pos")
 
 
-@query("""WITH a AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 9 ELSE quality END AS v FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 5 <> 0)
-SELECT doc_id, a.v::VARCHAR AS "left", b.v::VARCHAR AS "right" FROM a FULL JOIN b USING (doc_id) WHERE a.v IS DISTINCT FROM b.v""")
+@query("""WITH a AS (SELECT doc_id, toxic::VARCHAR AS v FROM labels), b AS (SELECT doc_id, CASE WHEN contains(text, 'idiot') THEN '1' ELSE '0' END AS v FROM documents)
+SELECT doc_id, a.v AS "left", b.v AS "right" FROM a FULL JOIN b USING (doc_id) WHERE a.v IS DISTINCT FROM b.v""")
 def settings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")  # two maps that share some keys, as two versions of settings do
-    a = labels.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("toxic") == 1, 9).otherwise(F.col("quality")).cast("string").alias("v"))
-    return summary.differences(a, labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").cast("string").alias("v")), "doc_id", "v")
+    # Two maps that share some keys, as two versions of settings do: given labels, and what one word says.
+    given = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("v"))
+    guessed = table(spark, sf_dir, "documents").select("doc_id", F.when(F.contains(F.col("text"), F.lit("idiot")), "1").otherwise("0").alias("v"))
+    return summary.differences(given, guessed, "doc_id", "v")
 
 
 # Scores
@@ -303,24 +304,28 @@ def copy_match_empty_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWS = 200
 
 
-@query(f"""WITH {_STATS},
+_REPLICATES = f"""{_STATS},
 placed AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS place FROM turn_pairs),
 size AS (SELECT count(*) AS c FROM placed),
 draws AS (SELECT b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::BIGINT % c AS place FROM (SELECT unnest(range({_DRAWS})) AS b), (SELECT unnest(range(c)) AS i, c FROM size)),
 weights AS (SELECT b, record_id, count(*) AS w FROM draws JOIN placed USING (place) GROUP BY ALL),
 drawn AS (SELECT b, system, kind, n, sum(h * w) AS h, sum(r * w) AS r, sum(m * w) AS m FROM weights JOIN stats USING (record_id) WHERE system IN ('base', 'tuned') GROUP BY ALL),
-{chrf_formula('drawn', 'b, system', 'scores', 12)}
-SELECT b AS replicate, round(max(chrfpp) FILTER (system = 'tuned') - max(chrfpp) FILTER (system = 'base'), 6) AS delta FROM scores GROUP BY b""")
+{chrf_formula('drawn', 'b, system', 'scores', 12)},
+replicates AS (SELECT b, max(chrfpp) FILTER (system = 'tuned') - max(chrfpp) FILTER (system = 'base') AS delta FROM scores GROUP BY b)"""
+
+
+@query(f"WITH {_REPLICATES} SELECT b AS replicate, round(delta, 6) AS delta FROM replicates")
 def bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap_replicates(_scored(spark, sf_dir), "base", "tuned", _DRAWS, 7).select("replicate", F.round("delta", 6).alias("delta"))
 
 
 @query(
-    f"""WITH {_STATS}, {chrf_formula('stats', 'system', 'overall', 12)}
-SELECT 'base' AS baseline, 'tuned' AS system, round((SELECT chrfpp FROM overall WHERE system = 'tuned') - (SELECT chrfpp FROM overall WHERE system = 'base'), 4) AS observed_delta, {_DRAWS}::BIGINT AS samples"""
+    f"""WITH {_REPLICATES}, {chrf_formula('stats', 'system', 'overall', 12)}
+SELECT 'base' AS baseline, 'tuned' AS system, round((SELECT chrfpp FROM overall WHERE system = 'tuned') - (SELECT chrfpp FROM overall WHERE system = 'base'), 4) AS observed_delta,
+  round(quantile_cont(delta, 0.025), 4) AS ci95_low, round(quantile_cont(delta, 0.975), 4) AS ci95_high, round((count(*) FILTER (delta <= 0) + 1)::DOUBLE / (count(*) + 1), 4) AS p_value, count(*) AS samples FROM replicates"""
 )
 def bootstrap_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.significance(_scored(spark, sf_dir), "base", "tuned", _DRAWS, 7).select("baseline", "system", "observed_delta", "samples")
+    return evaluate.significance(_scored(spark, sf_dir), "base", "tuned", _DRAWS, 7)
 
 
 def _bucket_sql(words: str) -> str:
@@ -452,21 +457,21 @@ def param_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Token arrays, with code points for tokens
 
 _CODES = TURN_PAIRS + """,
-codes AS (SELECT record_id, list_transform(string_split(substr(source, 1, 40), ''), lambda c: ord(c)) AS prompt, list_transform(string_split(substr(source, 1, 40) || substr(target, 1, 40), ''), lambda c: ord(c)) AS full_ids FROM turn_pairs
+codes AS (SELECT record_id, list_transform(string_split(source, ''), lambda c: ord(c)) AS prompt, list_transform(string_split(source || target, ''), lambda c: ord(c)) AS full_ids FROM turn_pairs
   WHERE source <> '' AND target <> '')"""
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_pairs(spark, sf_dir).where("source <> '' AND target <> ''")
-    return rows.select("record_id", A.code_points(F.substring("source", 1, 40)).alias("prompt"), A.code_points(F.concat(F.substring("source", 1, 40), F.substring("target", 1, 40))).alias("full_ids"))
+    return rows.select("record_id", A.code_points(F.col("source")).alias("prompt"), A.code_points(F.concat("source", "target")).alias("full_ids"))
 
 
 @query(f"""WITH {_CODES} SELECT record_id, array_to_string(list_concat(list_transform(range(len(prompt)), lambda i: -100), full_ids[len(prompt) + 1:]), ',') AS labels, (len(full_ids) - len(prompt))::INT AS supervised,
-  array_to_string(full_ids[len(prompt) + 1:], ',') AS completion, len(full_ids) >= 80 AS hit_limit FROM codes""")
+  array_to_string(full_ids[len(prompt) + 1:], ',') AS completion, len(full_ids) >= 512 AS hit_limit FROM codes""")
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _codes(spark, sf_dir).withColumn("labels", A.label_mask(F.col("prompt"), F.col("full_ids")))
     joined = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return rows.select("record_id", joined(F.col("labels")).alias("labels"), A.supervised(F.col("labels")).alias("supervised"), joined(A.completion(F.col("prompt"), F.col("full_ids"))).alias("completion"), A.hit_limit(F.col("full_ids"), 80).alias("hit_limit"))
+    return rows.select("record_id", joined(F.col("labels")).alias("labels"), A.supervised(F.col("labels")).alias("supervised"), joined(A.completion(F.col("prompt"), F.col("full_ids"))).alias("completion"), A.hit_limit(F.col("full_ids"), 512).alias("hit_limit"))
 
 
 def _pad_sql(left: bool) -> str:
@@ -503,17 +508,17 @@ def every_60th(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.every(turn_pairs(spark, sf_dir), 60, "record_id").select("record_id")
 
 
-@query(f"""WITH {_CODES} SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN len(full_ids) > 70 THEN 'sequence_too_long' WHEN len(full_ids) = len(prompt) THEN 'no_supervised_tokens' END AS reason FROM codes)
+@query(f"""WITH {_CODES} SELECT reason, count(*) AS rows FROM (SELECT CASE WHEN len(full_ids) > 512 THEN 'sequence_too_long' WHEN len(full_ids) = len(prompt) THEN 'no_supervised_tokens' END AS reason FROM codes)
 WHERE reason IS NOT NULL GROUP BY reason""")
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _codes(spark, sf_dir).withColumn("labels", A.label_mask(F.col("prompt"), F.col("full_ids")))
-    return summary.reason_histogram(rows, A.fit_reason(F.col("full_ids"), F.col("labels"), 70))
+    return summary.reason_histogram(rows, A.fit_reason(F.col("full_ids"), F.col("labels"), 512))
 
 
-@query(f"""WITH {_CODES} SELECT record_id FROM codes WHERE len(full_ids) <= 70 ORDER BY md5('42:' || record_id), record_id LIMIT 50""")
+@query(f"""WITH {_CODES} SELECT record_id FROM codes WHERE len(full_ids) <= 512 ORDER BY md5('42:' || record_id), record_id LIMIT 50""")
 def first_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _codes(spark, sf_dir).withColumn("labels", A.label_mask(F.col("prompt"), F.col("full_ids")))
-    return summary.first_fitting(rows, A.fit_reason(F.col("full_ids"), F.col("labels"), 70), 50, 42).select("record_id")
+    return summary.first_fitting(rows, A.fit_reason(F.col("full_ids"), F.col("labels"), 512), 50, 42).select("record_id")
 
 
 @query("SELECT vec_id, printf('%.2f', label / 3.0::DOUBLE) AS fixed, printf('%.1f%%', label * 12.5::DOUBLE) AS percent, printf('%+.2f', label - 2.5::DOUBLE) AS signed FROM embeddings")

@@ -17,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pairs: the source is the first 60 characters, the target the next 80, the group is where it comes from."""
+    """Documents as pairs: the source is the first half of the normalized text, the target the second, the group is where it comes from."""
     x = X.normalize(F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", x.alias("x"))
+    half = F.floor(F.length("x") / 2).cast("int")
     return docs.select(
         F.col("doc_id").cast("string").alias("record_id"),
         F.col("source").alias("group_id"),
-        F.trim(F.substring("x", 1, 60)).alias("source"),
-        F.trim(F.substring("x", 61, 80)).alias("target"),
+        F.trim(F.substring(F.col("x"), F.lit(1), half)).alias("source"),
+        F.trim(F.substring(F.col("x"), half + 1, F.length("x"))).alias("target"),
         F.col("doc_id").alias(clean.ROW),
     )
 
@@ -60,7 +61,7 @@ WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 DOC_PAIRS = rf"""
 doc_pairs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS record_id, source AS group_id, trim(substr(x, 1, 60)) AS source, trim(substr(x, 61, 80)) AS target, doc_id AS raw_row_number
+  SELECT CAST(doc_id AS VARCHAR) AS record_id, source AS group_id, trim(substr(x, 1, length(x) // 2)) AS source, trim(substr(x, length(x) // 2 + 1)) AS target, doc_id AS raw_row_number
   FROM (SELECT doc_id, source, trim(regexp_replace(regexp_replace(nfc_normalize(COALESCE(text, '')), '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '{WS}+', ' ', 'g')) AS x FROM documents))"""
 
 CASCADE = (

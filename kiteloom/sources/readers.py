@@ -21,7 +21,7 @@ from kiteloom.functions.text import WHITE, text_of
 ROW_NUMBER = "raw_row_number"
 
 
-def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str] | None = None, sep: str = "\t", encoding: str = "utf-8", required: Sequence[str] = ()) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str] | None = None, sep: str = "\t", encoding: str = "utf-8", required: Sequence[str] = (), line_breaks: bool = True) -> DataFrame:
     """A delimited file with a header as strings, none inferred, with ``raw_row_number`` (the header is line 1).
 
     ``columns`` maps column names to new ones and makes them required; other
@@ -29,8 +29,9 @@ def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str
     may be quoted with doubled quotes inside and hold separators and line breaks.
     ``utf-8-sig`` takes a byte order mark off the header.
 
-    A quoted line break forces whole files into one task, as for any reader of
-    this format; row numbers follow the order of files and rows.
+    Fields with quoted line breaks force whole files into one task, as for any
+    reader of this format. ``line_breaks=False`` says that there are none: files
+    are then split among tasks. Row numbers follow the order of files and rows.
     """
     path = str(path)
     if "://" not in path:
@@ -38,7 +39,7 @@ def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str
             raise FileNotFoundError(path)
         if not os.path.isfile(path) and not any(Path(path).iterdir()):
             raise ValueError(f"not a file, and no files in it: {path}")
-    raw = spark.read.options(sep=sep, quote='"', escape='"', multiLine=True, header=True, inferSchema=False, encoding="utf-8").csv(path)
+    raw = spark.read.options(sep=sep, quote='"', escape='"', multiLine=line_breaks, header=True, inferSchema=False, encoding="utf-8").csv(path)
     names = [c.removeprefix("﻿") if encoding == "utf-8-sig" else c for c in raw.columns]
     raw = raw.toDF(*names)
     wanted = [*(columns or {}), *required]

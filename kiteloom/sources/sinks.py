@@ -10,6 +10,7 @@ import shutil
 import tempfile
 from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager
+from html import escape
 from pathlib import Path
 from typing import Any
 
@@ -108,8 +109,9 @@ def model_card(report: Mapping[str, Any], title: str, source: str, target: str)
 
 
 def html_page(data: Mapping[str, Any], title: str) -> str:
-    """A page without outside parts; its data can't end the script element they stand in."""
+    """A page without outside parts; its data can't end the script element they stand in, and the title can't hold markup."""
     payload = json.dumps(data, ensure_ascii=False, default=str).replace("</", "<\\/")
+    title = escape(title)
     return (
         f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{title}</title></head><body>\n'
         f'<h1>{title}</h1><pre id="view"></pre>\n<script id="data" type="application/json">{payload}</script>\n'

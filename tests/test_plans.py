@@ -135,6 +135,11 @@ def test_resume_guard(tmp_path):
     base = config.as_dict(settings(tmp_path))
     own = lambda **t: checkpoints.fingerprint({**base, "training": base["training"] | t}, {"train": "abc"})
     path = tmp_path / "f.json"
+    with pytest.raises(ValueError, match="no fingerprint"):
+        checkpoints.verify_resume(path, own())
+    checkpoints.store_fingerprint(path, own())
+    with pytest.raises(FileExistsError):
+        checkpoints.store_fingerprint(path, own(learning_rate=1.0))
     assert checkpoints.verify_resume(path, own()) is None and checkpoints.verify_resume(path, own(save_steps=99)) is None
     with pytest.raises(ValueError, match="learning_rate"):
         checkpoints.verify_resume(path, own(learning_rate=1.0))
