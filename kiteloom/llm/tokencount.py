@@ -100,7 +100,7 @@ def spelt_out(short: str) -> str:
     return short[1:] if short[:1] == SPACE else " " + short
 
 
-def _distinct(salt: int, most_bytes: int = 64 << 20):
+def _distinct(salt: int, most_bytes: int = 32 << 20):
     """Texts to rows (key, part), each pre-token once for as many texts as ``most_bytes`` of them allow."""
 
     def rows(seen: set[str]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ class _Keys(dict):
         return key
 
 
-def _frequencies(salt: int, cache: int = 1 << 19):
+def _frequencies(salt: int, cache: int = 1 << 18):
     """(id, text) to (id, n_bytes, parts): the key of each distinct pre-token and how often it occurs."""
     entry = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
 
