@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +109,31 @@ def whole_runs(batches: Iterable[pa.RecordBatch], least: int = 50_000) -> Iterat
         yield [c.chunk(0) for c in pa.Table.from_batches(kept).combine_chunks().columns]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """What is run inside sends at most ``rows`` rows at once to Python: for rows of many bytes. The session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def releasing(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker, which lives on for other tasks, gives unused memory back to the system."""
+
+    def done(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return done
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, without decoding."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
