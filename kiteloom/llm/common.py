@@ -121,15 +121,20 @@ def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Gives a worker's unused memory back to the system: it lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def releasing(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run``, after which the worker, which lives on for other tasks, gives unused memory back to the system."""
+    """``run``, and ``release`` after it."""
 
     def done(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+        release()
 
     return done
 

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, schema_of, slices
+from .common import id_and_text, release, schema_of, slices
 
 # Letters of other scripts that look like Latin ones, digits and signs in their place.
 HOMOGLYPHS = {
@@ -271,8 +272,10 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     """The rows whose text isn't predicted toxic, all columns kept. A null text counts as empty; repeated rows share their fate; an empty table stays empty."""
 
     @F.pandas_udf("boolean")
-    def keep(text):
-        return text.map(lambda t: model.score(t or "") < 0.5).astype(bool)
+    def keep(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in series:
+            yield pd.Series([model.score(t or "") < 0.5 for t in text], dtype=bool)
+        release()
 
     return docs.where(keep(F.coalesce(F.col(text_col), F.lit(""))))
 
