@@ -109,4 +109,4 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.TAKEN_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.TAKEN_SQL, "op5_suffix": suffix.REMOVED_SQL, "op6_chat": chat.FORMATTED_SQL}

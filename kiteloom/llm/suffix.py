@@ -359,3 +359,24 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.col("sha256")).alias("kept_sha256"),
     )
     return done.union(rest)
+
+
+#: Every window of 200 bytes, counted; the runs that repeated windows cover; what lies between those runs.
+REMOVED_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(COALESCE(text, '')) AS b FROM documents),
+n AS (SELECT k, doc_id, b, octet_length(b)::BIGINT AS n_bytes FROM d),
+w AS (SELECT k, s, md5(b[s + 1 : s + 200]) AS m FROM (SELECT k, b, unnest(range(0, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)),
+r AS (SELECT k, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT k, s, sum(new) OVER (PARTITION BY k ORDER BY s) AS run
+      FROM (SELECT k, s, CASE WHEN s - lag(s) OVER (PARTITION BY k ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM r)),
+runs AS (SELECT k, min(s)::BIGINT AS a, max(s)::BIGINT + 200 AS e FROM g GROUP BY k, run),
+cuts AS (SELECT k, a, e, lag(e, 1, 0) OVER (PARTITION BY k ORDER BY a) AS since FROM runs),
+kept AS (SELECT c.k, count(*)::BIGINT AS n_spans, sum(e - a)::BIGINT AS n_removed, max(e) AS last,
+                string_agg(CASE WHEN a > since THEN hex(b[since + 1 : a]) ELSE '' END, '' ORDER BY a) AS front
+         FROM cuts c JOIN n ON c.k = n.k GROUP BY c.k)
+SELECT doc_id, n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b
+              WHEN last < n_bytes THEN unhex(front || hex(b[last + 1 : n_bytes]))
+              ELSE unhex(front) END) AS kept_sha256
+FROM n LEFT JOIN kept ON n.k = kept.k
+"""
