@@ -1,9 +1,13 @@
-"""Command line: ``python -m kiteloom prepare|report|dashboard|preflight``."""
+"""Command line: ``python -m kiteloom prepare|generate|report|dashboard|preflight``."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from collections.abc import Callable
+from functools import partial
+from typing import Any
 
 from kiteloom.control import config
 from kiteloom.control.run import Layout, logger, preflight
@@ -24,11 +28,27 @@ def parser() -> argparse.ArgumentParser:
     show.add_argument("--max-sentences", type=int)
     check = commands.add_parser("preflight", help="check the environment")
     check.add_argument("--require-data", action="store_true")
-    for command in (prepare, report, check):
+    make = commands.add_parser("generate", help="translate the test sample with one system")
+    make.add_argument("--system", required=True)
+    make.add_argument("--translator", required=True, help="module:function; called on executors with the limit of new tokens, returns a function from texts to (translation, hit the limit)")
+    make.add_argument("--adapter", help="folder of the adapter the system uses")
+    make.add_argument("--limit", type=int, help="only the first rows of the sample, this time")
+    make.add_argument("--batch-size", type=int, default=8)
+    make.add_argument("--max-new-tokens", type=int, default=256)
+    for command in (prepare, make, report, check):
         command.add_argument("--config", required=True)
     return top
 
 
+def named(place: str) -> Callable[..., Any]:
+    """The function that ``module:function`` names."""
+    module, _, name = place.partition(":")
+    found = getattr(importlib.import_module(module), name, None) if name else None
+    if not callable(found):
+        raise ValueError(f"not a function: {place!r}; give module:function")
+    return found
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -58,6 +78,13 @@ def main(argv: list[str] | None = None) -> int:
 
             prepare(session(), settings, args.data, args.rng)
             return 0
+        if args.command == "generate":
+            from kiteloom.plans.report import generate
+
+            make = partial(named(args.translator), args.max_new_tokens)
+            left = generate(session(), settings, args.system, make, args.limit, args.batch_size, args.max_new_tokens, args.adapter)
+            log.info("%s: %d records of the sample are left", args.system, left)
+            return 0
         from kiteloom.plans.report import report
 
         report(session(), settings, args.allow_partial)

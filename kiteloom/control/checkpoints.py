@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
 from kiteloom.sources.readers import checkpoint_step, read_json, scan_checkpoints
 from kiteloom.sources.sinks import write_json
 
-from .run import stamp
+from .run import now, stamp
 
 # The files of a whole checkpoint, settings that a resumed run may change, and settings of a generation.
 REQUIRED = ("trainer_state.json", "optimizer.pt", "scheduler.pt", "adapter_config.json", "adapter_model.safetensors")
@@ -134,6 +134,20 @@ def verify_resume(stored: str | Path, own: Mapping[str, Any], allow_extension: b
     raise ValueError(f"the run was begun with other settings: {changed}")
 
 
+def record_progress(path: str | Path, state: Mapping[str, Any], clock: Callable[[], str] = now) -> dict[str, Any]:
+    """How far a training run is, written at each saved checkpoint from its trainer state; the loss is the latest one logged, or null."""
+    losses = [entry["loss"] for entry in state.get("log_history", []) if "loss" in entry]
+    progress = {
+        "global_step": state["global_step"],
+        "max_steps": state["max_steps"],
+        "checkpoint": f"checkpoint-{state['global_step']}",
+        "latest_train_loss": losses[-1] if losses else None,
+        "saved_at_utc": clock(),
+    }
+    write_json(progress, path)
+    return progress
+
+
 def check_generation(path: str | Path, own: Mapping[str, Any]) -> None:
     """Compares the settings of a generation with the stored ones, or stores them; a mismatch raises ``ValueError`` with its names."""
     path = Path(path)

@@ -127,3 +127,13 @@ def batches(df: DataFrame, size: int, *order: str) -> DataFrame:
 def cycled(step: Column, count: Column) -> Column:
     """The example, from 0, that a step takes when examples are gone through again and again."""
     return F.pmod(step, count)
+
+
+def all_finite(x: Column) -> Column:
+    """Whether an array has no NaN, no infinity and no null; true for an empty one, null for a null one."""
+    return F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False)))
+
+
+def any_nonzero(x: Column) -> Column:
+    """Whether an array has a value other than 0, NaN and infinities included; nulls don't count, an empty one has none."""
+    return F.exists(x, lambda v: F.coalesce(v != 0, F.lit(False)))

@@ -191,6 +191,20 @@ def significance(stats: DataFrame, base: str, system: str, samples: int, seed: i
     return out.select(F.lit(base).alias("baseline"), F.lit(system).alias("system"), "observed_delta", F.round(F.col("q")[0], 4).alias("ci95_low"), F.round(F.col("q")[1], 4).alias("ci95_high"), p.alias("p_value"), "samples")
 
 
+def paired_bootstrap(stats: DataFrame, base: str, system: str, samples: int, seed: int, order: str = "record_id", most: int = 1_000_000) -> dict[str, Any] | None:
+    """``reference_bootstrap`` for up to ``most`` records of both systems, the distributed ``significance`` beyond; None without samples or records.
+
+    ``draws`` in the result names which: their draws differ, their statistics don't.
+    """
+    records = stats.where(F.col("system").isin(base, system)).groupBy("record_id").agg(F.countDistinct("system").alias("n")).where("n = 2").count()
+    if not samples or not records:
+        return None
+    if records <= most:
+        return reference_bootstrap(stats, base, system, samples, seed, order, most) | {"draws": "numpy"}
+    found = significance(stats, base, system, samples, seed).first().asDict()
+    return {k: found[k] for k in ("observed_delta", "ci95_low", "ci95_high", "p_value", "samples")} | {"draws": "hash"}
+
+
 def reference_bootstrap(stats: DataFrame, base: str, system: str, samples: int, seed: int, order: str = "record_id", most: int = 1_000_000) -> dict[str, Any] | None:
     """The same on the driver with NumPy's generator, record by record in the given order: for samples of up to ``most`` records."""
     import numpy as np

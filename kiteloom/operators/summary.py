@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +142,20 @@ def extremes(df: DataFrame, value: str, key: str, count: int = 20, highest: bool
     return df.orderBy(F.desc(value) if highest else F.asc(value), key).limit(count)
 
 
+def browsed(df: DataFrame, base: str, system: str, key: str, mode: str = "gain", search: str = "", within: Sequence[str] = (), count: int = 50) -> DataFrame:
+    """The sentences a reader looks through: those in which one of the columns ``within`` has ``search`` in either case, sorted by ``mode``.
+
+    gain: the largest gain of ``system`` over ``base`` first; high and low: by the
+    score of ``system``. Ties by key, nulls last; ``count`` rows are returned.
+    """
+    modes = {"gain": F.col(system) - F.col(base), "high": F.col(system), "low": -F.col(system)}
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}; modes are {sorted(modes)}")
+    if search:
+        df = df.where(reduce(lambda a, b: a | b, (F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(search.lower())) for c in within), F.lit(False)))
+    return df.orderBy(modes[mode].desc_nulls_last(), key).limit(count)
+
+
 def every(df: DataFrame, step: int, *order: str) -> DataFrame:
     """Every ``step``-th row of a total order, from the first."""
     return A.numbered(df, *order).where((F.col("position") - 1) % step == 0)

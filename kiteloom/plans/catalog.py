@@ -364,6 +364,16 @@ def top_regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.extremes(_deltas(spark, sf_dir), "delta", "record_id", highest=False)
 
 
+@query(f"WITH {_DELTAS} SELECT * FROM moved ORDER BY chrfpp_system DESC, record_id LIMIT 50")
+def browse_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.browsed(_deltas(spark, sf_dir), "chrfpp_base", "chrfpp_system", "record_id", "high")
+
+
+@query(f"WITH {_DELTAS} SELECT * FROM moved ORDER BY chrfpp_system, record_id LIMIT 50")
+def browse_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.browsed(_deltas(spark, sf_dir), "chrfpp_base", "chrfpp_system", "record_id", "low")
+
+
 @query(f"""WITH {_DELTAS}, ranked AS (SELECT *, row_number() OVER (ORDER BY chrfpp_system, record_id) AS k, count(*) OVER () AS c FROM moved),
 fixed AS (SELECT record_id, CASE WHEN k = 1 THEN 'hardest' ELSE 'typical' END AS pick FROM ranked WHERE k IN (1, c // 2 + 1)),
 gains AS (SELECT record_id, 'gain' AS pick FROM moved WHERE record_id NOT IN (SELECT record_id FROM fixed) ORDER BY delta DESC, record_id LIMIT 6)
@@ -447,6 +457,13 @@ def norms_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.norms(rows, "label", "n", "w").select("label", F.round("norm", 6).alias("norm"), "weights", F.round("rms_per_weight", 6).alias("rms_per_weight"))
 
 
+@query("""SELECT label, count(*) AS vectors, count(*) FILTER (list_bool_and(list_transform(embedding, lambda x: isfinite(x)))) AS finite,
+  count(*) FILTER (list_bool_or(list_transform(embedding, lambda x: x <> 0))) AS nonzero FROM embeddings GROUP BY label""")
+def vector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").groupBy("label")
+    return rows.agg(F.count("*").alias("vectors"), F.count_if(A.all_finite(F.col("embedding"))).alias("finite"), F.count_if(A.any_nonzero(F.col("embedding"))).alias("nonzero"))
+
+
 @query("""SELECT sum(p_size)::BIGINT AS total, sum(p_size) FILTER (p_partkey % 3 = 0)::BIGINT AS trainable, count(*) FILTER (p_partkey % 3 = 0) AS trainable_tensors,
   md5(COALESCE(array_to_string(list_sort(list(DISTINCT p_name) FILTER (p_partkey % 3 = 0 AND contains(lower(p_name), 'a'))), ','), '')) AS violations, round(sum(p_size) FILTER (p_partkey % 3 = 0) * 100.0::DOUBLE / sum(p_size), 4) AS percentage FROM part""")
 def param_census(spark: SparkSession, sf_dir: str) -> DataFrame:

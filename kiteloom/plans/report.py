@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kiteloom.control import checkpoints
 from kiteloom.control.config import Experiment
 from kiteloom.control.run import Layout, RunState, logger, manifest, now, write_manifest
+from kiteloom.functions.metrics import BLEU_SIGNATURE, CHRF_SIGNATURE
 from kiteloom.functions.text import check_system_name, word_count
 from kiteloom.operators import evaluate, summary
 from kiteloom.operators.translate import Translator, translate
@@ -90,7 +91,9 @@ def _report(spark: SparkSession, settings: Experiment, layout: Layout, state: Ru
     scores = {r["system"]: {k: v for k, v in r.asDict().items() if k not in ("system", "sentences")} for r in evaluate.corpus_scores(stats, "system").collect()}
     for r in rows.where(F.col("system") != evaluate.COPY).groupBy("system").agg(summary.rate(F.col("hit_token_limit")).alias("x")).collect():
         scores[r["system"]]["hit_token_limit_rate"] = r["x"]
-    test = lambda a, b: evaluate.reference_bootstrap(stats, a, b, settings.evaluation.bootstrap_samples, settings.project.seed, "sample_pos")
+    for found in scores.values():
+        found |= {"chrf_signature": CHRF_SIGNATURE, "bleu_signature": BLEU_SIGNATURE}
+    test = lambda a, b: evaluate.paired_bootstrap(stats, a, b, settings.evaluation.bootstrap_samples, settings.project.seed, "sample_pos")
     pairs = evaluate.comparisons(systems, BASE, PRIMARY)
     by_length: dict[str, dict[str, Any]] = {}
     for r in evaluate.by_length(stats).collect():
@@ -124,13 +127,25 @@ def _report(spark: SparkSession, settings: Experiment, layout: Layout, state: Ru
     adapter = metas.get(PRIMARY, {}).get("adapter_path")
     if not incomplete and PRIMARY in systems and adapter:
         state.started("packaging")
-        sinks.package(layout.run / "package", adapter, out, sinks.model_card(out, settings.project.name, settings.model.source_language, settings.model.target_language))
+        sinks.package(layout.run / "package", adapter, out, sinks.model_card(out, settings.project.name, settings.model.source_language, settings.model.target_language, _training_facts(settings)))
         known = readers.read_json(layout.report("experiment_manifest.json"), lenient=True) or manifest(settings)
         write_manifest(known | {"status": "evaluated_and_packaged", "final_metrics": {s: {"chrfpp": m["chrfpp"], "bleu": m["bleu"]} for s, m in out["systems"].items()}}, layout)
         state.completed("packaging", str(layout.run / "package"))
     return out
 
 
+def _training_facts(settings: Experiment) -> dict[str, Any]:
+    """What a model card says of how the model came about."""
+    return {
+        "base model": settings.model.repo_id,
+        "adapter rank": settings.lora.rank,
+        "adapter alpha": settings.lora.alpha,
+        "dropout": settings.lora.dropout,
+        "effective batch": settings.training.train_batch_size * settings.training.gradient_accumulation_steps,
+        "sample seed": settings.project.seed,
+    }
+
+
 def dashboard(spark: SparkSession, run: str | Path, output: str | Path, systems: tuple[str, ...] = (BASE, PRIMARY), most: int | None = None) -> dict[str, Any]:
     """A page of a run's reports, losses, adapter and sentences (all, or ``most`` picks)."""
     run = Path(run)

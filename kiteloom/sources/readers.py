@@ -209,6 +209,20 @@ def read_adapter(spark: SparkSession, path: str | Path) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def weights_digest(path: str | Path) -> str:
+    """SHA-256 over all tensors of a file in the order of their names: each name, then its values as 32-bit floats. No tensors raise ``ValueError``."""
+    import numpy as np
+
+    tensors = read_tensors(path)
+    if not tensors:
+        raise ValueError(f"no tensors to digest: {path}")
+    digest = hashlib.sha256()
+    for name in sorted(tensors):
+        digest.update(name.encode())
+        digest.update(np.ascontiguousarray(tensors[name], dtype="<f4").tobytes())
+    return digest.hexdigest()
+
+
 def file_digest(path: str | Path) -> str:
     """SHA-256 of a file, in hex."""
     with open(path, "rb") as file:
