@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity
+from . import centroids, chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.TAKEN_SQL, "op5_suffix": suffix.REMOVED_SQL, "op6_chat": chat.FORMATTED_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.TAKEN_SQL, "op5_suffix": suffix.REMOVED_SQL, "op6_chat": chat.FORMATTED_SQL, "op13_centroids": centroids.CLUSTERED_SQL}
