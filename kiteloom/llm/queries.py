@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity
+from . import centroids, chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_transducer": op11_transducer,
     "op13_centroids": op13_centroids,
 }
 
