@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity, transducer
+from . import alignment, centroids, chat, fingerprint, mixing, mpegts, packing, secrets, simhash, suffix, tokencount, toxicity, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,12 @@ def op11_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, ranks, b = map(vocabulary, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents"), a, b, ranks)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_transducer": op11_transducer,
+    "op12_alignment": op12_alignment,
     "op13_centroids": op13_centroids,
 }
 
