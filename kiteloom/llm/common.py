@@ -58,15 +58,26 @@ def few(keys: DataFrame, most: int = 1 << 20, most_bytes: int = 48 << 20) -> Dat
     return F.broadcast(keys) if rows <= most and size <= most_bytes else keys.hint("merge")
 
 
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, with underscores before it until no column of ``df`` begins like that in any case: names made with it clash with none."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def kept_rows(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` that the written ``found`` (id, hash, first, n) keeps: those with a null id, and one of the n equal rows that are a group's first."""
-    rows = df.withColumn("_own_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    named = lambda part, name: Table(part.select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")), name, narrow=True).df
-    on = (F.col(id_col) == F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    """The rows of ``df`` that the written ``found`` (id, hash, first, n) keeps: those with a null id, and one of the n equal rows that are a group's first.
+
+    All columns are kept, whatever their names.
+    """
+    own, key, of = (free_prefix(df, "_kept") + x for x in ("_own", "_id", "_hash"))
+    rows = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    named = lambda part, name: Table(part.select(F.col(id_col).alias(key), F.col("hash").alias(of)), name, narrow=True).df
+    on = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(of))
     kept = rows.join(few(named(found.where("NOT first"), "copies")), on, "left_anti")
     again = named(found.where("first AND n > 1"), "again")
     if not again.isEmpty():
-        kept = kept.join(few(again), on, "left_anti").union(kept.join(few(again), on, "left_semi").dropDuplicates([id_col, "_own_hash"]))
+        kept = kept.join(few(again), on, "left_anti").union(kept.join(few(again), on, "left_semi").dropDuplicates([id_col, own]))
     return kept.select(df.columns)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, few, word_count
+from .common import Table, few, free_prefix, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -131,30 +131,32 @@ def _first_words(text: Column, words: Column) -> Column:
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them, in training order: a row for each pass, texts cut where a target is reached.
 
-    All columns are kept. Rows that repeat id and text are numbered, so each meets
+    All columns are kept, whatever their names. Rows that repeat id and text are numbered, so each meets
     its own takes; no other text goes through that window. Texts without words, null ones among them, are never taken; a
     null id is met by its text; an empty table gives no rows.
     """
-    mixed = mix(df, id_col, text_col, source_col).withColumn("_mix_row", F.monotonically_increasing_id())
-    each = F.explode(F.arrays_zip("takes", "positions")).alias("_mix")
-    passes = mixed.select(F.col(id_col).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), "_mix_row", each)
-    passes = passes.select("_mix_id", "_mix_hash", "_mix_size", "_mix_row", F.col("_mix.takes").alias("_mix_take"), F.col("_mix.positions").alias("_mix_at"))
-    passes = Table(passes, "passes", narrow=True).df
-    rows = df.withColumn("_mix_own", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_own") == F.col("_mix_hash"))
-    cut = F.when(F.col("_mix_take") < F.col("_mix_size"), _first_words(F.col(text_col), F.col("_mix_take"))).otherwise(F.col(text_col))
-    out = lambda met: met.withColumn(text_col, cut).select(*df.columns, "_mix_at")
-    again = passes.groupBy("_mix_id", "_mix_hash").agg(F.countDistinct("_mix_row").alias("n")).where("n > 1").select("_mix_id", "_mix_hash")
+    names = "row of hash size take at own k n again again_hash".split()
+    row, of, digest, size, take, at, own, k, n, again_of, again_digest = (f"{free_prefix(df, '_mix')}_{x}" for x in names)
+    mixed = mix(df, id_col, text_col, source_col).withColumn(row, F.monotonically_increasing_id())
+    each = F.explode(F.arrays_zip("takes", "positions")).alias("pass")
+    passes = mixed.select(F.col(id_col).alias(of), F.col("hash").alias(digest), F.col("size").alias(size), row, each)
+    passes = Table(passes.select(of, digest, size, row, F.col("pass.takes").alias(take), F.col("pass.positions").alias(at)), "passes", narrow=True).df
+    rows = df.withColumn(own, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(digest))
+    cut = F.when(F.col(take) < F.col(size), _first_words(F.col(text_col), F.col(take))).otherwise(F.col(text_col))
+    out = lambda met: met.withColumn(text_col, cut).select(*df.columns, at)
+    again = passes.groupBy(of, digest).agg(F.countDistinct(row).alias(n)).where(F.col(n) > 1).select(of, digest)
     again = Table(again, "again", narrow=True).df
+    taken = passes.where(F.col(take) > 0)
     if again.isEmpty():
-        return out(rows.join(few(passes.where("_mix_take > 0")), same)).orderBy("_mix_at", id_col).select(df.columns)
-    own = F.col("_mix_id").eqNullSafe(F.col("_id")) & (F.col("_mix_hash") == F.col("_hash"))
-    pairs = again.select(F.col("_mix_id").alias("_id"), F.col("_mix_hash").alias("_hash"))
-    once = Table(passes.where("_mix_take > 0").join(pairs, own, "left_anti"), "once", narrow=True).df
-    numbered = passes.join(pairs, own, "left_semi").withColumn("_mix_n", F.dense_rank().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_row")))
-    repeats = rows.join(few(again), same, "left_semi").withColumn("_mix_k", F.row_number().over(W.partitionBy(id_col, "_mix_own").orderBy(id_col)))
-    more = repeats.join(numbered.where("_mix_take > 0"), same & (F.col("_mix_n") == F.col("_mix_k")))
-    return out(rows.join(few(once), same)).union(out(more)).orderBy("_mix_at", id_col).select(df.columns)
+        return out(rows.join(few(taken), same)).orderBy(at, id_col).select(df.columns)
+    pairs = again.select(F.col(of).alias(again_of), F.col(digest).alias(again_digest))
+    repeated = F.col(of).eqNullSafe(F.col(again_of)) & (F.col(digest) == F.col(again_digest))
+    once = Table(taken.join(pairs, repeated, "left_anti"), "once", narrow=True).df
+    numbered = passes.join(pairs, repeated, "left_semi").withColumn(n, F.dense_rank().over(W.partitionBy(of, digest).orderBy(row)))
+    repeats = rows.join(few(again), same, "left_semi").withColumn(k, F.row_number().over(W.partitionBy(id_col, own).orderBy(id_col)))
+    more = repeats.join(numbered.where(F.col(take) > 0), same & (F.col(n) == F.col(k)))
+    return out(rows.join(few(once), same)).union(out(more)).orderBy(at, id_col).select(df.columns)
 
 
 TAKEN_SQL = """

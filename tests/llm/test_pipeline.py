@@ -5,7 +5,8 @@ from kiteloom.llm import mixing, packing, queries, secrets, simhash, toxicity
 
 from .conftest import made_texts
 from .test_mixing import plain_targets, words
-from .test_simhash import groups, plain
+from .test_neardup import five, linked
+from .test_simhash import groups
 
 
 def fixture(spark, folder):
@@ -27,8 +28,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
     labels = queries.table(spark, str(tmp_path), "labels")
     model = toxicity.fit(*toxicity.training_rows(docs, labels))
     kept = {r.doc_id: r for r in docs.collect() if model.score(r.text) < 0.5}
-    fps = {k: plain(r.text) for k, r in kept.items()}
-    root = groups(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    sets = {k: five(r.text) for k, r in kept.items()}
+    root = groups(sets, [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b])])
     kept = {k: r for k, r in kept.items() if root[k] == k}
     scanner = secrets.trained()
     texts = {k: secrets._without(r.text, secrets.find([r.text], scanner)[0], "[SECRET]") for k, r in kept.items()}
@@ -52,15 +53,18 @@ def test_stages_against_plain_versions(spark, tmp_path):
 
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     encode = packing.encoder(queries.vocabulary("byte_bpe_50k.json"), None).encode
-    expected = sorted(([*encode(r.text), 0] for r in seen[3]), key=lambda x: (len(x), x))
-    got, own = [], []
-    for p in sorted(pieces, key=lambda p: p.sequence_id):
+    expected = sorted([*map(int, encode(r.text)), 0] for r in seen[3])
+    cut = {}
+    for p in pieces:
         ids = [int.from_bytes(p.ids[i : i + 4], "little") for i in range(0, len(p.ids), 4)]
-        own += ids
-        if len(own) == p.doc_tokens:
-            got.append(own)
-            own = []
-    assert sorted(got, key=lambda x: (len(x), x)) == [list(map(int, e)) for e in expected]
+        assert len(ids) == p.length and p.length & (p.length - 1) == 0
+        cut.setdefault((p.doc_id, p.doc_tokens, p.start), []).append(ids)
+    # Pieces of equal length and start that a document has twice are those of its two passes, which are equal.
+    got = []
+    for doc, total in {k[:2] for k in cut}:
+        parts = [cut[k] for k in sorted(cut) if k[:2] == (doc, total)]
+        got += [sum((p[n] for p in parts), []) for n in range(len(parts[0]))]
+    assert sorted(got) == expected
 
 
 def test_stage_names():
