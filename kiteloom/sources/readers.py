@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-import struct
 from collections.abc import Iterable, Sequence
 from pathlib import Path
 from typing import Any
@@ -18,6 +17,9 @@ from pyspark.sql import types as T
 
 from kiteloom.functions.text import WHITE, text_of
 
+from . import tensors
+from .delimited import quoted_records
+
 ROW_NUMBER = "raw_row_number"
 
 
@@ -29,9 +31,10 @@ def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str
     may be quoted with doubled quotes inside and hold separators and line breaks.
     ``utf-8-sig`` takes a byte order mark off the header.
 
-    Fields with quoted line breaks force whole files into one task, as for any
-    reader of this format. ``line_breaks=False`` says that there are none: files
-    are then split among tasks. Row numbers follow the order of files and rows.
+    A file is read by as many tasks as it has splits, also where quoted fields
+    hold line breaks (``quoted_records``); ``line_breaks=False`` says that there
+    are none, which saves a look at all quotes. Row numbers follow the order of
+    files and rows.
     """
     path = str(path)
     if "://" not in path:
@@ -39,14 +42,19 @@ def read_delimited(spark: SparkSession, path: str | Path, columns: dict[str, str
             raise FileNotFoundError(path)
         if not os.path.isfile(path) and not any(Path(path).iterdir()):
             raise ValueError(f"not a file, and no files in it: {path}")
-    raw = spark.read.options(sep=sep, quote='"', escape='"', multiLine=line_breaks, header=True, inferSchema=False, encoding="utf-8").csv(path)
-    names = [c.removeprefix("﻿") if encoding == "utf-8-sig" else c for c in raw.columns]
-    raw = raw.toDF(*names)
-    wanted = [*(columns or {}), *required]
-    require_columns(raw, wanted)
-    order = raw.withColumn("_order", F.monotonically_increasing_id())
-    rows = order.select(*(text_of(F.col(f"`{c}`")).alias((columns or {}).get(c, c)) for c in names), "_order")
-    return _dense(rows, "_order", ROW_NUMBER, first=2)
+    options = {"sep": sep, "quote": '"', "escape": '"', "encoding": "utf-8"}
+    raw = spark.read.options(**options, multiLine=line_breaks, header=True, inferSchema=False).csv(path)
+    names = [c.removeprefix("\ufeff") if encoding == "utf-8-sig" else c for c in raw.columns]
+    require_columns(raw.toDF(*names), [*(columns or {}), *required])
+    named = lambda cells: [text_of(c).alias((columns or {}).get(name, name)) for c, name in zip(cells, names)]
+    if not line_breaks:
+        raw = raw.toDF(*(f"c{i}" for i in range(len(names))))
+        rows = raw.withColumn("_order", F.monotonically_increasing_id())
+        return _dense(rows.select(*named(map(F.col, raw.columns)), "_order"), "_order", ROW_NUMBER, first=2)
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    cells = F.from_csv(F.col("record"), F.lit(fields), {**options, "multiLine": "true"})
+    rows = quoted_records(spark, path, sep).select("row", cells.alias("c"))
+    return rows.select(*named(F.col(f"c.c{i}") for i in range(len(names))), F.col("row").alias(ROW_NUMBER))
 
 
 def _dense(df: DataFrame, order: str, name: str, first: int) -> DataFrame:
@@ -55,7 +63,7 @@ def _dense(df: DataFrame, order: str, name: str, first: int) -> DataFrame:
     sizes = df.groupBy(task.alias("_t")).agg(F.count("*").alias("_n"))
     before = sizes.select("_t", F.coalesce(F.sum("_n").over(W.orderBy("_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     number = F.col(order).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b") + first
-    return df.join(F.broadcast(before), task == F.col("_t")).withColumn(name, number.cast("int")).drop(order, "_t", "_b")
+    return df.join(F.broadcast(before), task == F.col("_t")).withColumn(name, number).drop(order, "_t", "_b")
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -178,49 +186,36 @@ def scan_checkpoints(folder: str | Path) -> list[tuple[int, Path]]:
     return sorted(((s, p) for s, p in found if s is not None), reverse=True)
 
 
-# Names of the tensor file format's number types.
-_NUMBERS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "|i1", "U8": "|u1"}
-
-
 def read_tensors(path: str | Path) -> dict[str, Any]:
-    """A safetensors file's arrays as doubles: an 8-byte size, a JSON header of that size, then the data."""
-    import numpy as np
-
+    """A small tensor file's arrays as doubles, on the driver; ``read_slices`` is for files of any size."""
     out = {}
+    begin, header = tensors.read_header(str(path))
     with open(path, "rb") as file:
-        header = json.loads(file.read(struct.unpack("<Q", file.read(8))[0]))
-        data = file.read()
-    for name, at in header.items():
-        if name == "__metadata__":
-            continue
-        raw = data[slice(*at["data_offsets"])]
-        if at["dtype"] == "BF16":  # the upper half of a 32-bit float
-            values = (np.frombuffer(raw, "<u2").astype("<u4") << 16).view("<f4")
-        else:
-            values = np.frombuffer(raw, _NUMBERS[at["dtype"]])
-        out[name] = values.astype(float).reshape(at["shape"])
+        for name, at in header.items():
+            lo, hi = at["data_offsets"]
+            file.seek(begin + lo)
+            out[name] = tensors.as_doubles(file.read(hi - lo), at["dtype"]).reshape(at["shape"])
     return out
 
 
 def read_adapter(spark: SparkSession, path: str | Path) -> DataFrame:
-    """(path, which, matrix) of an adapter's halves A and B; other tensors are left out."""
-    schema = T.StructType.fromDDL("path string, which string, matrix array<array<double>>")
-    rows = [(m[1], m[2], v.tolist()) for k, v in read_tensors(path).items() if (m := _ADAPTER.fullmatch(k))]
-    return spark.createDataFrame(rows, schema)
+    """(path, which, matrix) of an adapter's halves A and B, read by tasks; other tensors are left out."""
+    name = f"^{_ADAPTER.pattern}$"
+    slices = tensors.read_slices(spark, str(path)).where(F.rlike("tensor", F.lit(name)))
+    whole = slices.groupBy("file", "tensor").agg(F.first("shape").alias("shape"), F.array_sort(F.collect_list(F.struct("first", "values"))).alias("parts"))
+    flat, rows, width = F.flatten(F.col("parts.values")), F.col("shape")[0], F.col("shape")[1].cast("int")
+    matrix = F.when(rows > 0, F.transform(F.sequence(F.lit(0).cast("long"), rows - 1), lambda i: F.slice("flat", (i * width + 1).cast("int"), width))).otherwise(F.array().cast("array<array<double>>"))
+    half = lambda i: F.regexp_extract("tensor", name, i)
+    return whole.withColumn("flat", flat).select(half(1).alias("path"), half(2).alias("which"), matrix.alias("matrix"))
 
 
 def weights_digest(path: str | Path) -> str:
-    """SHA-256 over all tensors of a file in the order of their names: each name, then its values as 32-bit floats. No tensors raise ``ValueError``."""
-    import numpy as np
-
-    tensors = read_tensors(path)
-    if not tensors:
-        raise ValueError(f"no tensors to digest: {path}")
-    digest = hashlib.sha256()
-    for name in sorted(tensors):
-        digest.update(name.encode())
-        digest.update(np.ascontiguousarray(tensors[name], dtype="<f4").tobytes())
-    return digest.hexdigest()
+    """SHA-256 over all tensors of a file in the order of their names: each name, then its values as 32-bit floats. No tensors raise ``ValueError``.
+
+    One digest is one chain over all bytes, so one process reads them, a slice
+    at a time; ``tree_digest`` is the form that many tasks compute.
+    """
+    return tensors.streamed_digest(str(path))
 
 
 def file_digest(path: str | Path) -> str:

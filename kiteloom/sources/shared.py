@@ -47,16 +47,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def written(df: DataFrame, name: str, **options: str) -> str:
-    """Writes ``df`` as Parquet into the shared folder, under a name of its own. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kiteloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder, nothing being there yet."""
+    return f"{shared_dir(spark)}/kiteloom/{name}-{uuid.uuid4().hex}"
+
+
+def deleted_at_exit(spark: SparkSession, path: str) -> str:
+    """Says that what has been written to ``path`` goes when the driver's JVM ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
+def written(df: DataFrame, name: str, **options: str) -> str:
+    """Writes ``df`` as Parquet into the shared folder, under a name of its own. The files go when the driver's JVM ends."""
+    path = shared_path(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return deleted_at_exit(df.sparkSession, path)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends, and values drawn once stay."""
     spark, path = df.sparkSession, written(df, name)

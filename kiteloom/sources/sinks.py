@@ -16,6 +16,7 @@ from string import Template
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .readers import file_digest
 
@@ -52,6 +53,13 @@ def write_frozen(df: DataFrame, path: str | Path, order: Sequence[str], columns:
     return file_digest(path)
 
 
+def write_delimited(df: DataFrame, path: str | Path, sep: str = "\t") -> None:
+    """A folder of delimited files, one a task, each with a header; all fields quoted, quotes inside doubled, nulls written as empty fields."""
+    texts = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    options = {"sep": sep, "quote": '"', "escape": '"', "quoteAll": True, "header": True, "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.options(**options).csv(str(path))
+
+
 def write_sidecar(path: str | Path, sidecar: str | Path) -> str:
     """The file's digest and name, as digest tools read them."""
     digest = file_digest(path)
