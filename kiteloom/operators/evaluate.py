@@ -7,7 +7,7 @@ row; every score after that is a sum and a formula.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from kiteloom.functions import metrics as M
 from kiteloom.functions import text as X
+from kiteloom.functions.arrays import numbered
+
+from .resample import replicate_sums
 
 COPY = "copy_source"
 
@@ -150,6 +153,18 @@ def comparisons(systems: Sequence[str], base: str = "base", primary: str = "tune
     return out + ([(s, primary) for s in others if s != primary] if primary in systems else [])
 
 
+def _placed(stats: DataFrame, base: str, system: str) -> DataFrame:
+    """(place, x, y): the statistics of baseline and candidate of each record that has both, numbered from 0 by record."""
+    both = stats.where(F.col("system").isin(base, system)).groupBy("record_id").agg(
+        F.max(F.when(F.col("system") == base, F.col("chrf"))).alias("x"), F.max(F.when(F.col("system") == system, F.col("chrf"))).alias("y")
+    )
+    return numbered(both.where("x IS NOT NULL AND y IS NOT NULL"), "record_id").select((F.col("position") - 1).cast("long").alias("place"), "x", "y")
+
+
+def _deltas_of(sums: DataFrame) -> DataFrame:
+    return sums.select("replicate", (M.chrf_score(F.col("y")) - M.chrf_score(F.col("x"))).alias("delta"))
+
+
 def bootstrap_replicates(stats: DataFrame, base: str, system: str, samples: int, seed: int, small: int = 1 << 16) -> DataFrame:
     """(replicate, delta): chrF++ of the candidate less the baseline's over draws with replacement, the same for both.
 
@@ -157,14 +172,10 @@ def bootstrap_replicates(stats: DataFrame, base: str, system: str, samples: int,
     b and i. Draws are counted by replicate and place before any statistics are
     met, so that what joins is at most records times replicates small rows, and
     sums are combined in each task. Statistics, some 400 bytes a
-    record, are broadcast up to ``small`` rows.
+    record, are broadcast up to ``small`` rows. ``tree_replicates`` makes no row
+    for a draw and is the form for many records.
     """
-    both = stats.where(F.col("system").isin(base, system)).groupBy("record_id").agg(
-        F.max(F.when(F.col("system") == base, F.col("chrf"))).alias("x"), F.max(F.when(F.col("system") == system, F.col("chrf"))).alias("y")
-    )
-    from kiteloom.functions.arrays import numbered
-
-    placed = numbered(both.where("x IS NOT NULL AND y IS NOT NULL"), "record_id").select((F.col("position") - 1).cast("long").alias("place"), "x", "y")
+    placed = _placed(stats, base, system)
     count = placed.count()
     spark = stats.sparkSession
     if not samples or not count:
@@ -175,24 +186,32 @@ def bootstrap_replicates(stats: DataFrame, base: str, system: str, samples: int,
     weights = draws.select("replicate", place.alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))
     met = weights.join(F.broadcast(placed) if count <= small else placed, "place")
     weighed = lambda c: F.array(*(F.sum(F.col(c)[i] * F.col("w")) for i in range(M.CHRF_COUNT)))
-    sums = met.groupBy("replicate").agg(weighed("x").alias("x"), weighed("y").alias("y"))
-    return sums.select("replicate", (M.chrf_score(F.col("y")) - M.chrf_score(F.col("x"))).alias("delta"))
+    return _deltas_of(met.groupBy("replicate").agg(weighed("x").alias("x"), weighed("y").alias("y")))
+
+
+def tree_replicates(stats: DataFrame, base: str, system: str, samples: int, seed: int, leaf: int = 1024) -> DataFrame:
+    """As ``bootstrap_replicates``, its draws from a binomial tree over blocks of ``leaf`` records: one pass over the statistics, one row a task and replicate."""
+    placed = _placed(stats, base, system)
+    count = placed.count()
+    if not samples or not count:
+        return stats.sparkSession.createDataFrame([], "replicate long, delta double")
+    return _deltas_of(replicate_sums(placed, {"x": M.CHRF_COUNT, "y": M.CHRF_COUNT}, count, samples, seed, leaf))
 
 
-def significance(stats: DataFrame, base: str, system: str, samples: int, seed: int) -> DataFrame:
+def significance(stats: DataFrame, base: str, system: str, samples: int, seed: int, replicates: Callable[..., DataFrame] = bootstrap_replicates) -> DataFrame:
     """One row: observed delta, 95 % interval of the replicates, one-sided p, and their number; no interval for 0 samples."""
     at = lambda name: M.chrf_score(F.array(*(F.sum(F.when(F.col("system") == name, F.col("chrf")[i]).otherwise(0)) for i in range(M.CHRF_COUNT))))
     rows = stats.where(F.col("system").isin(base, system))
     observed = rows.agg((at(system) - at(base)).alias("o")).select(F.round("o", 4).alias("observed_delta"))
     q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
-    drawn = bootstrap_replicates(stats, base, system, samples, seed).agg(q.alias("q"), F.count_if(F.col("delta") <= 0).alias("k"), F.count("*").alias("samples"))
+    drawn = replicates(stats, base, system, samples, seed).agg(q.alias("q"), F.count_if(F.col("delta") <= 0).alias("k"), F.count("*").alias("samples"))
     out = observed.join(drawn, F.lit(True))  # one row each
     p = F.when(F.col("samples") > 0, F.round((F.col("k") + 1) / (F.col("samples") + 1), 4))
     return out.select(F.lit(base).alias("baseline"), F.lit(system).alias("system"), "observed_delta", F.round(F.col("q")[0], 4).alias("ci95_low"), F.round(F.col("q")[1], 4).alias("ci95_high"), p.alias("p_value"), "samples")
 
 
-def paired_bootstrap(stats: DataFrame, base: str, system: str, samples: int, seed: int, order: str = "record_id", most: int = 1_000_000) -> dict[str, Any] | None:
-    """``reference_bootstrap`` for up to ``most`` records of both systems, the distributed ``significance`` beyond; None without samples or records.
+def paired_bootstrap(stats: DataFrame, base: str, system: str, samples: int, seed: int, order: str = "record_id", most: int = 1 << 16) -> dict[str, Any] | None:
+    """``reference_bootstrap`` for up to ``most`` records of both systems, ``significance`` by the tree's hashed draws beyond; None without samples or records.
 
     ``draws`` in the result names which: their draws differ, their statistics don't.
     """
@@ -201,7 +220,7 @@ def paired_bootstrap(stats: DataFrame, base: str, system: str, samples: int, see
         return None
     if records <= most:
         return reference_bootstrap(stats, base, system, samples, seed, order, most) | {"draws": "numpy"}
-    found = significance(stats, base, system, samples, seed).first().asDict()
+    found = significance(stats, base, system, samples, seed, tree_replicates).first().asDict()
     return {k: found[k] for k in ("observed_delta", "ci95_low", "ci95_high", "p_value", "samples")} | {"draws": "hash"}
 
 

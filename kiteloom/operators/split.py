@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kiteloom.sources.shared import settled
 
 RATIOS = {"train": 0.8, "dev": 0.1, "test": 0.1}
 
@@ -28,42 +32,40 @@ def fold(sizes: Sequence[tuple[str, int]], ratios: Mapping[str, float], seed: in
     return out
 
 
-def folded_by_hash(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, group: str = "group_id", most: int = 10_000) -> DataFrame:
-    """(group, split): the same dealing in the order of the groups' digests, as one SQL fold over the table of groups.
+def folded_by_hash(sizes: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, group: str = "group_id") -> DataFrame:
+    """(group, split): the same dealing of the table of groups (group, n) in the order of their digests.
 
-    The fold is sequential and copies its result at each step, so its time grows
-    with the square of the number of groups; more than ``most`` raise ``ValueError``.
+    Each choice hangs on all before it, so one task goes through the sorted
+    groups, of which it holds a batch and a counter a split: time grows in
+    proportion, memory not at all. Only names and sizes go there; Spark sorts
+    them, on disk if need be.
     """
-    sizes = group_sizes(pairs, group)
-    if (count := sizes.count()) > most:
-        raise ValueError(f"{count} groups, more than {most}: deal them by rng='ranges'")
-    names = list(ratios)
-    order = F.array_sort(F.collect_list(F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary")).alias("h"), F.col(group).alias("g"), "n")))
-    state = F.struct(*(F.lit(0).cast("long").alias(f"have_{s}") for s in names), F.array().cast("array<string>").alias("dealt"))
-    total = F.col("total")
-
-    def step(acc, item):
-        lack = {s: (total * ratios[s] - acc[f"have_{s}"]) / (total * ratios[s]) for s in names}
-        best = F.lit(names[-1])
-        for i in range(len(names) - 2, -1, -1):
-            wins = F.lit(True)
-            for other in names[i + 1 :]:
-                wins = wins & (lack[names[i]] >= lack[other])
-            best = F.when(wins, names[i]).otherwise(best)
-        return F.struct(*((acc[f"have_{s}"] + F.when(best == s, item["n"]).otherwise(F.lit(0))).cast("long").alias(f"have_{s}") for s in names), F.concat(acc["dealt"], F.array(best)).alias("dealt"))
-
-    one = sizes.agg(F.sum("n").alias("total"), order.alias("groups"))
-    dealt = one.select("groups", F.aggregate("groups", state, step)["dealt"].alias("dealt"))
-    return dealt.select(F.inline(F.arrays_zip("groups", "dealt"))).select(F.col("groups.g").alias(group), F.col("dealt").alias("split"))
-
-
-def split_groups(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, rng: str = "reference", group: str = "group_id", broadcast_groups: int = 1_000_000) -> DataFrame:
+    named = sizes.select(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")).cast("binary")).alias("h"), group, F.col("n").cast("long").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    names, target = list(ratios), [total * r for r in ratios.values()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = [0] * len(names)
+        places = range(len(names))
+        for batch in batches:
+            dealt = []
+            for n in batch.column(2).to_pylist():
+                best = max(places, key=lambda i: (target[i] - have[i]) / target[i])  # the first of equal ones
+                have[best] += n
+                dealt.append(names[best])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(dealt, pa.string())], names=[group, "split"])
+
+    schema = T.StructType([T.StructField(group, sizes.schema[group].dataType), T.StructField("split", T.StringType())])
+    return named.repartition(1).sortWithinPartitions("h", group, "n").mapInArrow(run, schema)
+
+
+def split_groups(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: int = 42, rng: str = "reference", group: str = "group_id", broadcast_groups: int = 1_000_000, broadcast_bytes: int = 48 << 20) -> DataFrame:
     """``pairs`` with ``split``; every group lies in one split.
 
     ``rng="reference"`` shuffles with Python's generator on the driver, where only
-    groups and their sizes come; ``"hash"`` folds in SQL. Both deal one group after
-    the other: the first is for as many groups as fit the driver, the second for
-    up to 10,000. ``"ranges"`` puts
+    groups and their sizes come; ``"hash"`` streams them, sorted, through one task.
+    Both deal one group after the other: the first is for as many groups as fit
+    the driver, the second for any number. ``"ranges"`` puts
     a group where the hash of its name falls among the cumulated ratios: no
     table of groups at all, and balance by the law of large numbers. Fewer than
     three groups, or columns that are missing, raise ``ValueError``.
@@ -78,18 +80,19 @@ def split_groups(pairs: DataFrame, ratios: Mapping[str, float] = RATIOS, seed: i
             edge += ratio
             out = F.when(at < edge, name) if out is None else out.when(at < edge, name)
         return pairs.withColumn("split", out.otherwise(list(ratios)[-1]))
-    sizes = group_sizes(pairs, group)
-    count = sizes.count()
+    sizes = settled(group_sizes(pairs, group), "groups")
+    named = F.coalesce(F.octet_length(F.col(group).cast("string")), F.lit(0))
+    count, size = sizes.agg(F.count("*"), F.coalesce(F.sum(named), F.lit(0))).first()
     if count < len(ratios):
         raise ValueError(f"{len(ratios)} groups are needed at least, there are {count}")
     if rng == "hash":
-        table = folded_by_hash(pairs, ratios, seed, group)
+        table = folded_by_hash(sizes, ratios, seed, group)
     elif rng == "reference":
         dealt = fold([(r[0], r[1]) for r in sizes.toLocalIterator()], ratios, seed)
         table = pairs.sparkSession.createDataFrame(list(dealt.items()), f"`{group}` {pairs.schema[group].dataType.simpleString()}, split string")
     else:
         raise ValueError(f"unknown rng: {rng}")
-    return pairs.join(F.broadcast(table) if count <= broadcast_groups else table, group)
+    return pairs.join(F.broadcast(table) if count <= broadcast_groups and size <= broadcast_bytes else table, group)
 
 
 def overlaps(rows: DataFrame, keys: Sequence[str] = ("group_id", "source", "target", "record_id")) -> DataFrame:

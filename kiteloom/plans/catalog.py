@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from kiteloom.functions import arrays as A
 from kiteloom.functions import metrics as M
 from kiteloom.functions import text as X
-from kiteloom.operators import clean, evaluate, history, split, summary
-from kiteloom.sources import readers
-from kiteloom.sources.shared import settled
+from kiteloom.operators import clean, evaluate, history, resample, split, summary
+from kiteloom.sources import readers, sinks, tensors
+from kiteloom.sources.shared import deleted_at_exit, settled, shared_path
 
 from .inputs import CASCADE, DOC_RULES, PREDICTIONS, TURN_PAIRS, WS, cascade, chrf_counts, chrf_formula, doc_pairs, predictions, table, turn_pairs
 
@@ -124,6 +124,27 @@ def blank_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.blank_keys(table(spark, sf_dir, "conversations"), "text", "role")
 
 
+# Sources
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, COALESCE(source, '') AS source, length(COALESCE(text, ''))::INT AS chars, md5(COALESCE(text, '')) AS text FROM documents")
+def quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as delimited text, with their line breaks in quotes, and read back by splits."""
+    path = shared_path(spark, "delimited")
+    sinks.write_delimited(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    rows = readers.read_delimited(spark, deleted_at_exit(spark, path))
+    return rows.select("doc_id", "source", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("""SELECT CAST(label AS VARCHAR) AS tensor, sum(len(embedding))::BIGINT AS "values", sum(len(list_filter(embedding, lambda x: isfinite(x))))::BIGINT AS finite, sum(len(list_filter(embedding, lambda x: x <> 0)))::BIGINT AS nonzero,
+  round(sqrt(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS norm FROM embeddings GROUP BY label""")
+def tensor_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written as tensor files, one tensor a label and task, and summed up by slices."""
+    path = shared_path(spark, "tensors")
+    tensors.write_tensors(table(spark, sf_dir, "embeddings"), path, "label", "embedding")
+    return tensors.tensor_summary(tensors.read_slices(spark, deleted_at_exit(spark, path))).withColumn("norm", F.round("norm", 6))
+
+
 # Summaries
 
 
@@ -328,6 +349,18 @@ def bootstrap_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.significance(_scored(spark, sf_dir), "base", "tuned", _DRAWS, 7)
 
 
+_TREE = f"""{_STATS},
+placed AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS place FROM turn_pairs),
+{resample.weights_sql('SELECT count(*) FROM placed', _DRAWS, 11, 64, 12, 'drawn_places')},
+drawn AS (SELECT replicate AS b, system, kind, n, sum(h * w) AS h, sum(r * w) AS r, sum(m * w) AS m FROM drawn_places JOIN placed USING (place) JOIN stats USING (record_id) WHERE system IN ('base', 'tuned') GROUP BY ALL),
+{chrf_formula('drawn', 'b, system', 'scores', 12)}"""
+
+
+@query(f"WITH {_TREE} SELECT b AS replicate, round(max(chrfpp) FILTER (system = 'tuned') - max(chrfpp) FILTER (system = 'base'), 6) AS delta FROM scores GROUP BY b")
+def bootstrap_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.tree_replicates(_scored(spark, sf_dir), "base", "tuned", _DRAWS, 11, leaf=64).select("replicate", F.round("delta", 6).alias("delta"))
+
+
 def _bucket_sql(words: str) -> str:
     return f"CASE WHEN {words} BETWEEN 1 AND 5 THEN '1-5' WHEN {words} BETWEEN 6 AND 10 THEN '6-10' WHEN {words} BETWEEN 11 AND 20 THEN '11-20' WHEN {words} >= 21 THEN '21+' ELSE '0' END"
 
