@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from kiteloom.sources.shared import settled
 
+from .passages import contained_passages  # noqa: F401  one of the leakage checks
+
 RATIOS = {"train": 0.8, "dev": 0.1, "test": 0.1}
 
 
@@ -110,30 +112,3 @@ def require_no_leakage(rows: DataFrame, ratios: Mapping[str, float] = RATIOS, ke
     if found:
         first = overlaps(rows, keys).where((F.col("key") == found["key"]) & (F.col("splits") == F.lit(found["splits"]))).orderBy("value").limit(5).collect()
         raise ValueError(f"{found['values']} values of {found['key']} lie in {found['splits']}; first: {[r['value'] for r in first]}")
-
-
-def contained_passages(docs: DataFrame, held_out: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """(id, item) where a document holds a held-out passage word for word.
-
-    Passages are looked up by their first words, hashed, among the runs of as
-    many words of each document; only what agrees there is compared in full.
-    Passages of fewer than seven words, so those written without spaces, are
-    looked up in the same way by their first characters, up to eight: one pass
-    over the documents for each such length.
-    """
-    width = 5
-    words = lambda c: F.filter(F.split(F.lower(c), "\\s+"), lambda w: w != "")
-    every = held_out.select(F.col(item_col).alias("item"), F.col(item_text).alias("passage")).where("passage is not null")
-    own = every.where(F.size(words(F.col("passage"))) >= width + 2)
-    short = every.where(F.size(words(F.col("passage"))) < width + 2).withColumn("k", F.least(F.length("passage"), F.lit(8)))
-    inner = own.select("item", "passage", F.xxhash64(F.array_join(F.slice(words(F.col("passage")), 2, width), " ")).alias("key"))
-    runs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words(F.col(text_col)).alias("w")).where(F.size("w") >= width)
-    keyed = runs.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " "))))).alias("key"))
-    near = keyed.join(inner.select("item", "key"), "key").select("id", "item").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for (k,) in sorted(short.select("k").distinct().collect()):
-        some = short.where(F.col("k") == k).select("item", F.xxhash64(F.substring("passage", 1, k)).alias("key"))
-        places = F.sequence(F.lit(1), F.length("text") - k + 1)
-        grams = texts.where(F.length("text") >= k).select("id", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(k)))))).alias("key")) if k else texts.select("id", F.xxhash64(F.lit("")).alias("key"))
-        near = near.union(grams.join(some, "key").select("id", "item").distinct())
-    return near.join(texts, "id").join(every, "item").where(F.contains("text", "passage")).select(F.col("id").alias(id_col), F.col("item").alias(item_col)).distinct()
