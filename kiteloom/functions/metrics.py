@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import collapse
+
 COUNTS = T.ArrayType(T.LongType())
 
 # The metrics' orders and weight.
@@ -69,6 +71,10 @@ def chrf_stats(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([chrf_counts(h or "", r or "") for h, r in zip(hypothesis, reference)], dtype=object)
 
 
+# Fixed values of the rules called 13a: marks but apostrophe, comma, period and dash stand apart; comma and period but between digits; a dash after a digit.
+MARKS_APART = ((r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "))
+
+
 def bleu_tokens(text: str) -> list[str]:
     """Tokens by the rules that metric calls 13a."""
     import re
@@ -81,23 +87,35 @@ def bleu_tokens(text: str) -> list[str]:
     return re.sub(r"([0-9])(-)", r"\1 \2 ", text).split()
 
 
+def bleu_words(text: Column) -> Column:
+    """``bleu_tokens`` as built-in functions: the tokens, a space between each, for ``bleu_word_stats``."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for mark, char in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        out = F.replace(out, F.lit(mark), F.lit(char))
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    for pattern, by in MARKS_APART:
+        out = F.regexp_replace(out, pattern, by)
+    return collapse(out)
+
+
 def bleu_counts(hypothesis: list[str], reference: list[str]) -> list[int]:
     """(hypothesis length, reference length, common n-grams of each order, n-grams of each order)."""
     rows = [_counts(hypothesis, reference, n) for n in range(1, BLEU_ORDER + 1)]
     return [len(hypothesis), len(reference), *(r[2] for r in rows), *(r[0] for r in rows)]
 
 
-@F.pandas_udf(COUNTS)
-def bleu_stats(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([bleu_counts(bleu_tokens(h or ""), bleu_tokens(r or "")) for h, r in zip(hypothesis, reference)], dtype=object)
-
-
 @F.pandas_udf(COUNTS)
 def bleu_word_stats(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    """As ``bleu_stats``, words between white space being the tokens."""
+    """The statistics of each pair, words between white space being the tokens; nulls count as empty."""
     return pd.Series([bleu_counts((h or "").split(), (r or "").split()) for h, r in zip(hypothesis, reference)], dtype=object)
 
 
+def bleu_stats(hypothesis: Column | str, reference: Column | str) -> Column:
+    """The statistics of each pair by the tokens called 13a, which are made in the JVM."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return bleu_word_stats(bleu_words(column(hypothesis)), bleu_words(column(reference)))
+
+
 def summed(stats: Column, count: int) -> Column:
     """The sums of an array's places over a group, as an array."""
     return F.array(*(F.sum(stats[i]) for i in range(count)))

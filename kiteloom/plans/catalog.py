@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiteloom.functions import arrays as A
 from kiteloom.functions import metrics as M
 from kiteloom.functions import text as X
-from kiteloom.operators import clean, evaluate, history, resample, split, summary
+from kiteloom.operators import clean, encode, evaluate, history, resample, split, summary
 from kiteloom.sources import readers, sinks, tensors
 from kiteloom.sources.shared import deleted_at_exit, settled, shared_path
 
@@ -296,9 +296,11 @@ def sentence_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("record_id", "system", "chrfpp")
 
 
-@query(rf"""WITH {PREDICTIONS},
-sides AS (SELECT record_id, system, 'h' AS side, list_filter(regexp_split_to_array(prediction, '{WS}+'), lambda w: w <> '') AS w FROM predictions
-  UNION ALL SELECT record_id, system, 'r', list_filter(regexp_split_to_array(target, '{WS}+'), lambda w: w <> '') FROM predictions),
+def _bleu_sql(tokens: Callable[[str], str]) -> str:
+    words = lambda c: rf"list_filter(regexp_split_to_array({tokens(c)}, '{WS}+'), lambda w: w <> '')"
+    return rf"""WITH {PREDICTIONS},
+sides AS (SELECT record_id, system, 'h' AS side, {words('prediction')} AS w FROM predictions
+  UNION ALL SELECT record_id, system, 'r', {words('target')} FROM predictions),
 orders AS (SELECT unnest(range(1, 5)) AS n),
 bags AS (SELECT record_id, system, side, n, g, count(*) AS k FROM (
   SELECT record_id, system, side, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sides, orders WHERE len(w) >= n)) GROUP BY ALL),
@@ -308,12 +310,35 @@ sums AS (SELECT system, n, sum(h)::DOUBLE AS h, sum(m)::DOUBLE AS m FROM met GRO
 misses AS (SELECT *, count(*) FILTER (m = 0 AND h > 0) OVER (PARTITION BY system ORDER BY n) AS z, sum(m) OVER (PARTITION BY system) AS every FROM sums),
 logs AS (SELECT system, any_value(every) AS every, sum(ln(CASE WHEN m = 0 THEN 100 / (pow(2, z) * h) ELSE 100 * m / h END)) / 4 AS l FROM misses GROUP BY system),
 sizes AS (SELECT system, sum(len(w)) FILTER (side = 'h')::DOUBLE AS a, sum(len(w)) FILTER (side = 'r')::DOUBLE AS b FROM sides GROUP BY system)
-SELECT system, round(CASE WHEN every = 0 THEN 0 ELSE CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(l) END, 4) AS bleu FROM logs JOIN sizes USING (system)""")
-def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = evaluate.spread(predictions(spark, sf_dir)).select("system", M.bleu_word_stats("prediction", "target").alias("bleu"))
+SELECT system, round(CASE WHEN every = 0 THEN 0 ELSE CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END * exp(l) END, 4) AS bleu FROM logs JOIN sizes USING (system)"""
+
+
+def _marks_apart(c: str) -> str:
+    """The tokens called 13a, spaces between, in SQL."""
+    for mark, char in (("<skipped>", "''"), ("-\n", "''"), ("\n", "' '"), ("&quot;", "'\"'"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'")):
+        written = "'" + mark.replace("\n", "' || chr(10) || '") + "'"
+        c = f"replace({c}, {written}, {char})"
+    c = f"(' ' || {c} || ' ')"
+    for pattern, by in M.MARKS_APART:
+        c = "regexp_replace({}, '{}', '{}', 'g')".format(c, pattern, by.replace("$", "\\"))
+    return c
+
+
+def _corpus_bleu(rows: DataFrame, stats: Column) -> DataFrame:
+    stats = evaluate.spread(rows).select("system", stats.alias("bleu"))
     return stats.groupBy("system").agg(M.summed(F.col("bleu"), M.BLEU_COUNT).alias("b")).select("system", F.round(M.bleu_score(F.col("b")), 4).alias("bleu"))
 
 
+@query(_bleu_sql(lambda c: c))
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus_bleu(predictions(spark, sf_dir), M.bleu_word_stats("prediction", "target"))
+
+
+@query(_bleu_sql(_marks_apart))
+def corpus_bleu_13a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus_bleu(predictions(spark, sf_dir), M.bleu_stats("prediction", "target"))
+
+
 @query(f"""WITH {PREDICTIONS} SELECT system, round(avg((prediction_n = source)::INT::DOUBLE), 4) AS exact_copy_rate, round(avg((prediction_n = target)::INT::DOUBLE), 4) AS exact_match_rate,
   round(avg((prediction_n = '')::INT::DOUBLE), 4) AS empty_rate FROM (SELECT *, trim(regexp_replace(prediction, '{WS}+', ' ', 'g')) AS prediction_n FROM predictions) GROUP BY system""")
 def copy_match_empty_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,6 +549,20 @@ def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", joined(F.col("labels")).alias("labels"), A.supervised(F.col("labels")).alias("supervised"), joined(A.completion(F.col("prompt"), F.col("full_ids"))).alias("completion"), A.hit_limit(F.col("full_ids"), 512).alias("hit_limit"))
 
 
+@query(rf"""WITH {TURN_PAIRS},
+chats AS (SELECT record_id, '<bos><start_of_turn>user' || chr(10) || 'Translate the following text into German:' || chr(10) || chr(10) || source || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS p,
+  regexp_replace(target, '^{WS}+|{WS}+$', '', 'g') || '<end_of_turn>' || chr(10) AS a FROM turn_pairs WHERE source <> ''),
+ids AS (SELECT record_id, length(p)::INT AS prompt_tokens, length(p || a)::INT AS full_tokens, list_transform(string_split(a, ''), lambda c: ord(c)) AS answer FROM chats)
+SELECT record_id, prompt_tokens, full_tokens, CASE WHEN full_tokens <= 1024 THEN len(answer) END::INT AS supervised_tokens, CASE WHEN full_tokens > 1024 THEN 'sequence_too_long' END AS skip_reason,
+  CASE WHEN full_tokens <= 1024 THEN md5(array_to_string(list_concat(list_transform(range(prompt_tokens), lambda i: -100), answer), ',')) END AS labels FROM ids""")
+def chat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole chats encoded on the executors by a tokenizer named as a setting names it, masked up to the answer."""
+    rows = turn_pairs(spark, sf_dir).where("source <> ''").select("record_id", X.prompt(F.col("source"), "German").alias("prompt"), "target")
+    done = encode.training_examples(rows, 1024, "kiteloom.operators.encode:code_points")
+    labels = F.md5(F.array_join(F.col("labels").cast("array<string>"), ",").cast("binary"))
+    return done.select("record_id", "prompt_tokens", "full_tokens", "supervised_tokens", "skip_reason", labels.alias("labels"))
+
+
 def _pad_sql(left: bool) -> str:
     fill = lambda v: f"list_transform(range(w - len(full_ids)), lambda i: {v})"
     both = lambda own, v: f"array_to_string(list_concat({fill(v)}, {own}), ',')" if left else f"array_to_string(list_concat({own}, {fill(v)}), ',')"
