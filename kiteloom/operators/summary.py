@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 from kiteloom.functions import arrays as A
 from kiteloom.functions import text as X
 
+from .quantiles import exact_quantiles
 
-def numeric_summary(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+
+QUANTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def numeric_summary(df: DataFrame, *columns: str, digits: int = 4, most: int = 1 << 20) -> DataFrame:
     """A row for each column: count, min, p25, median, mean, p75, p95, max, quantiles interpolated linearly.
 
     What isn't a number is left out; a column without numbers has count 0 and
-    nulls. Quantiles are exact: equal values are combined before the shuffle.
+    nulls. Quantiles are exact: of up to ``most`` rows in one aggregate, whose
+    buffer holds all distinct values, of more by ``exact_quantiles``, in bounded
+    memory and a few passes.
     """
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).try_cast("double").alias("x")) for c in columns))).alias("r")).select("r.*")
-    q = F.percentile("x", F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75, 0.95))))
+    numbers = df.select(*(F.col(c).try_cast("double").alias(c) for c in columns))
+    long = numbers.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns))).alias("r")).select("r.*")
+    few = df.count() <= most
+    q = F.percentile("x", F.array(*map(F.lit, QUANTILES.values()))) if few else F.lit(None).cast("array<double>")
     sums = long.groupBy("column").agg(F.count("x").alias("count"), F.min("x").alias("min"), q.alias("q"), F.avg("x").alias("mean"), F.max("x").alias("max"))
+    if not few:
+        found = exact_quantiles(numbers, columns, list(QUANTILES.values()))
+        table = df.sparkSession.createDataFrame(list(found.items()), "column string, q array<double>")
+        sums = sums.drop("q").join(F.broadcast(table), "column")
     rounded = lambda c: F.round(c, digits)
-    picks = {"p25": 0, "median": 1, "p75": 2, "p95": 3}
-    return sums.select("column", "count", rounded("min").alias("min"), *(rounded(F.col("q")[i]).alias(k) for k, i in picks.items()), rounded("mean").alias("mean"), rounded("max").alias("max"))
+    return sums.select("column", "count", rounded("min").alias("min"), *(rounded(F.col("q")[i]).alias(k) for i, k in enumerate(QUANTILES)), rounded("mean").alias("mean"), rounded("max").alias("max"))
 
 
 def retention(audited: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kiteloom.functions import arrays as A
 from kiteloom.functions import metrics as M
 from kiteloom.functions import text as X
-from kiteloom.operators import clean, encode, evaluate, history, resample, split, summary
+from kiteloom.operators import clean, encode, evaluate, history, quantiles, resample, split, summary
 from kiteloom.sources import readers, sinks, tensors
 from kiteloom.sources.shared import deleted_at_exit, settled, shared_path
 
@@ -159,6 +159,16 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.numeric_summary(table(spark, sf_dir, "documents"), "n_chars").union(summary.numeric_summary(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity"))
 
 
+@query("""SELECT round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS price, round(quantile_cont(l_quantity::DOUBLE, 0.95), 6) AS quantity, round(quantile_cont(l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE), 0.999), 6) AS revenue FROM lineitem""")
+def selected_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by selection at any size of the table: brackets, counts, then the few values left."""
+    x = lambda c: F.col(c).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select(x("l_extendedprice").alias("price"), x("l_quantity").alias("quantity"), (x("l_extendedprice") * (1 - x("l_discount"))).alias("revenue"))
+    wanted = {"price": 0.5, "quantity": 0.95, "revenue": 0.999}
+    values = [round(quantiles.exact_quantiles(rows, [c], [p])[c][0], 6) for c, p in wanted.items()]
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{c} double" for c in wanted))
+
+
 @query(f"""WITH {CASCADE} SELECT count(*) AS raw_rows, count(DISTINCT record_id) AS unique_record_ids, count(DISTINCT group_id) AS unique_group_ids, count(*) FILTER (reason = '') AS rows_kept,
   count(DISTINCT group_id) FILTER (reason = '') AS unique_groups_kept, count(*) FILTER (reason = '' AND source = target) AS identical_rows_kept,
   count(*) FILTER (reason <> '') AS rows_dropped, round(count(*) FILTER (reason = '')::DOUBLE / count(*), 6) AS retention_fraction FROM rules""")
