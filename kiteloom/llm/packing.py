@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, schema_of, slices
+from .common import id_and_text, releasing, schema_of, slices
 
 #: Characters on which the two tokenizer libraries split alike: Latin letters and general punctuation.
 _PLAIN = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
@@ -97,7 +97,7 @@ def pack(
             columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length)), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids", "doc_tokens"])
 
-    cut = id_and_text(df, id_col, text_col).mapInArrow(run, schema_of(df, id_col, "start long, length long, ids binary, doc_tokens long"))
+    cut = id_and_text(df, id_col, text_col).mapInArrow(releasing(run), schema_of(df, id_col, "start long, length long, ids binary, doc_tokens long"))
     bucket = F.round(F.log2("length")).cast("int")
     number = F.shiftleft(bucket.cast("long"), 58).bitwiseOR(F.monotonically_increasing_id())
     return cut.select("*", bucket.alias("bucket"), number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
