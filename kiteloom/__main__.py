@@ -1,4 +1,4 @@
-"""Command line: ``python -m kiteloom prepare|generate|report|dashboard|preflight``."""
+"""Command line: ``python -m kiteloom prepare|resume|generate|report|dashboard|preflight``."""
 
 from __future__ import annotations
 
@@ -35,7 +35,9 @@ def parser() -> argparse.ArgumentParser:
     make.add_argument("--limit", type=int, help="only the first rows of the sample, this time")
     make.add_argument("--batch-size", type=int, default=8)
     make.add_argument("--max-new-tokens", type=int, default=256)
-    for command in (prepare, make, report, check):
+    again = commands.add_parser("resume", help="say from which checkpoint a training run goes on")
+    again.add_argument("--extend", action="store_true", help="permit a larger number of steps than the run began with")
+    for command in (prepare, make, report, check, again):
         command.add_argument("--config", required=True)
     return top
 
@@ -78,6 +80,13 @@ def main(argv: list[str] | None = None) -> int:
 
             prepare(session(), settings, args.data, args.rng)
             return 0
+        if args.command == "resume":
+            from kiteloom.plans.resume import resume
+
+            found = resume(settings, args.extend)
+            write_json(found, layout.report("resume.json"))
+            log.info("%(action)s at step %(global_step)s of %(max_steps)s, checkpoint %(checkpoint)s", found)
+            return 0
         if args.command == "generate":
             from kiteloom.plans.report import generate
 
