@@ -42,7 +42,8 @@ def ancestors(links: DataFrame, rounds: int = 40) -> list[DataFrame]:
     """For k = 0, 1, ...: (tree, node, up), up being 2^k replies above node. ``links`` is (tree, node, parent).
 
     Each table is the one before joined with itself, and is written to the shared
-    folder; the last that has rows ends the list. A cycle raises ``ValueError``.
+    folder; the last that has rows ends the list. A cycle raises ``ValueError``;
+    no replies give an empty list; parents that aren't nodes end their paths.
     """
     jumps = [Table(links.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("up")), "jumps").df]
     while not jumps[-1].isEmpty():
@@ -58,7 +59,9 @@ def paths(links: DataFrame) -> DataFrame:
 
     Self-joins go down the tables of ``ancestors``: each takes all nodes found so
     far 2^k further up, so that a tree of any depth d takes about 2 log2(d)
-    joins, and every node of a path is found once.
+    joins, and every node of a path is found once. Rows without a parent are
+    roots; a null tree is a tree like others; no rows give none. (tree, node)
+    must be unique.
     """
     jumps = ancestors(links)
     parents = links.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
@@ -120,7 +123,10 @@ def under_mask(formatted: Column, spans: Column) -> Column:
 def chains(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Conversations in turns (id, turn, role, text) as reply trees without branches, each turn a reply to the one before.
 
-    Turns with one number stand in the order of role and text.
+    Turns with one number, or none, stand in the order of role and text, equal
+    rows one after the other. All rows without an id are one conversation; null
+    texts and roles stay null; an empty table gives none; other columns are
+    ignored.
     """
     order = W.partitionBy(id_col).orderBy("turn", "role", "text")
     numbered = turns.select(id_col, "role", "text", F.row_number().over(order).cast("long").alias("node"))

@@ -116,7 +116,10 @@ def mix(
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document with the words taken in all passes, range-sorted by its first position, untaken ones last."""
+    """One row for each document with the words taken in all passes, range-sorted by its first position, untaken ones last, ties by id.
+
+    ``mixed`` is as ``mix`` gives it; null ids and repeated rows stay rows; no rows give none.
+    """
     total = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = mixed.select(id_col, "size", "source_size", "target", total.alias("taken"), F.round(F.element_at("positions", 1), 9).alias("position"))
     return rows.orderBy(F.col("position").asc_nulls_last(), id_col)

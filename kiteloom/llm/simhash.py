@@ -45,6 +45,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ASCII letters are folded, shingles of ``width`` words count with repeats, a
     shorter text is one shingle; a bit is set if more than half the hashes set it.
+    Null, empty and wordless texts have fingerprint 0; repeated rows and null
+    ids pass through; an empty table gives none; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,8 @@ def trie_links(fps: DataFrame, budget: int = 2, trie_limit: int = 1 << 16) -> Da
     that common head, where a pair still has its whole budget. Each head is a
     trie of its own and goes to one task. A head with more than ``trie_limit``
     fingerprints is laid out again by 8-bit blocks of its rest, which bounds a
-    trie at 65,536 keys. Each trie emits at most one link a key.
+    trie at 65,536 keys. Each trie emits at most one link a key. A link may come
+    from several tries; no or one fingerprint gives no link.
     """
     if budget != 2:
         raise ValueError("block layouts are given for a budget of 2")

@@ -142,7 +142,9 @@ def fit(texts: list[str], labels: list[int], most: int = 200, least_share: float
     as in harmless texts. A pair of words joins the exceptions if it holds a
     lexicon word and stands only in harmless texts, 3 or more. Then the two
     features, both monotone, are weighed by logistic regression. Without both
-    labels the seed lexicon is returned with a fixed cut at one match.
+    labels, so for no texts at all, the seed lexicon is returned with a fixed
+    cut at one match. Repeated texts count each; the order of texts is their
+    caller's, and the same order gives the same model.
     """
     toxic, clean = sum(labels), len(labels) - sum(labels)
     seeds = {fold(w): x for w, x in SEED_WORDS.items()}
@@ -262,7 +264,12 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, bound: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted): fits on at most ``bound`` labelled rows outside the held-out fold, scores all."""
+    """(id, held_out, score, predicted): fits on at most ``bound`` labelled rows outside the held-out fold, scores all.
+
+    Null and empty texts have the score of a text without a match; a null id
+    counts as the id '' for its fold and is never learned from; repeated rows
+    are scored each; an empty table gives none; other columns are ignored.
+    """
     model = fit(*training_rows(docs, labels, bound, id_col, text_col))
     scored = score_texts(docs, model, id_col, text_col)
     return scored.select(id_col, (fold_of(F.col(id_col)) == 0).alias("held_out"), "score", "predicted")
