@@ -5,9 +5,8 @@ from __future__ import annotations
 import base64
 import random
 import re
-import zlib
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, release, releasing, schema_of, slices
+from .common import Table, id_and_text, release, releasing, schema_of, slices
 
 #: Kinds in the order in which spans at one place are listed; the network's own come last.
 KINDS = ("assign", "access", "hex", "network")
@@ -148,16 +147,39 @@ class Network:
 
     def train(self, codes: np.ndarray, y: np.ndarray, epochs: int = 24, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> None:
         """Adam on shuffled batches, its steps shrinking to a fifth; the same result for the same seed."""
-        rng, m, v, t = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        steps = epochs * -(-len(y) // batch)
+        rng, t = np.random.default_rng(seed), 0
+        step, steps = self.stepper(), epochs * -(-len(y) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 pick, t = order[at : at + batch], t + 1
-                for k, g in self._gradients(codes[pick], y[pick]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= (rate * (1 - 0.8 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                step(codes[pick], y[pick], rate * (1 - 0.8 * t / steps))
+
+    def stepper(self) -> Callable[[np.ndarray, np.ndarray, float], None]:
+        """A function that takes one step of Adam, with a state of its own."""
+        m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+
+        def step(codes: np.ndarray, y: np.ndarray, rate: float) -> None:
+            nonlocal t
+            t += 1
+            for k, g in self._gradients(codes, y).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+
+        return step
+
+    def packed(self) -> np.ndarray:
+        """All parameters in one row."""
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def with_packed(self, row: np.ndarray) -> Network:
+        """A network like this one with other parameters."""
+        other, at = Network(self.width, self.filters, self.p["e"].shape[1]), 0
+        for k, x in self.p.items():
+            other.p[k] = row[at : at + x.size].astype(np.float32).reshape(x.shape)
+            at += x.size
+        return other
 
 
 # Words around findings, and harmless tokens' shapes.
@@ -296,54 +318,132 @@ def trained(count: int = 3000, least_recall: float = 0.98, seed: int = 5) -> Sca
     return fitted(labelled_findings(count, seed), labelled_findings(count, seed + 1), least_recall)
 
 
-def labelled_windows(df: DataFrame, bound: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, bytes, bool]]:
-    """(id, window, label) of findings in a bounded sample: of at most ``bound`` documents, the first by their ids' digests.
+#: Networks that are trained side by side at most, windows of one at least, passes over all windows, and windows of a step.
+PARTS, PART, ROUNDS, STEP_OWN = 64, 2048, 4, 32
+#: Logits are counted by steps of 1 / ``FINE``, up to ``FAR`` on either side.
+FINE, FAR = 256, 60
 
-    Null ids aren't sampled; at most 20 windows of a label are taken of one document.
-    """
-    ids = df.select(F.col(id_col).cast("string").alias("name")).where("name IS NOT NULL").distinct()
-    ids = ids.orderBy(F.md5(F.col("name").cast("binary")), "name").limit(bound)
-    some = df.select(F.col(id_col).cast("string").alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "name", "left_semi")
+
+def labelled_windows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(seen, secret): the distinct windows of all texts that carry a label without the network; null texts have none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: list[tuple[str, bytes, bool]] = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = text_findings(text)
-                out += [(name, w, y) for side in (True, False) for w, y in [f for f in found if f[1] == side][:20]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_()))], names=["name", "seen", "secret"])
+            out = list(dict.fromkeys(f for text in batch.column(0).to_pylist() for f in text_findings(text)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.bool_()))], names=["seen", "secret"])
 
-    return sorted((r[0], bytes(r[1]), r[2]) for r in some.select("name", "t").mapInArrow(run, "name string, seen binary, secret boolean").collect())
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return texts.mapInArrow(releasing(run), "seen binary, secret boolean").distinct()
 
 
-def trained_on(df: DataFrame, bound: int = 4000, count: int = 3000, least_recall: float = 0.98, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    """A scanner from made findings and the labelled ones of a sample of ``df``.
+def _round(windows: DataFrame, network: Network, parts: int, number: int, made: tuple[np.ndarray, np.ndarray], rate: float) -> Network:
+    """The mean of networks that start from ``network`` and each see one part of all windows (seen, secret, place) once, as many made ones beside them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, step, taken, kept = None, network, None, 0, []
+
+        def learn() -> None:
+            nonlocal taken, kept
+            pick = np.arange(taken, taken + STEP_OWN) % len(made[1])
+            step(np.concatenate([codes_of([w for w, _ in kept]), made[0][pick]]), np.concatenate([np.array([y for _, y in kept], np.float32), made[1][pick]]), rate)
+            taken, kept = taken + len(kept), []
+
+        def ended() -> pa.RecordBatch:
+            if kept:
+                learn()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([taken], pa.int64()), pa.array([own.packed().tobytes()], pa.binary())], names=["part", "n", "row"])
+
+        for batch in batches:
+            for at, seen, secret in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at != part:
+                    if part is not None:
+                        yield ended()
+                    part, own, taken = at, network.with_packed(network.packed()), 0
+                    step = own.stepper()
+                kept.append((seen, secret))
+                if len(kept) == STEP_OWN:
+                    learn()
+        if part is not None:
+            yield ended()
+
+    dealt = windows.select(F.pmod("place", F.lit(parts)).alias("part"), "seen", "secret", F.xxhash64("place", F.lit(number)).alias("order"))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "order", "seen", "secret").drop("order")
+    rows = sorted(dealt.mapInArrow(releasing(run), "part long, n long, row binary").collect())
+    return network.with_packed(np.average([np.frombuffer(r.row, np.float32) for r in rows], axis=0, weights=[r.n for r in rows]))
+
+
+def _counted(windows: DataFrame, network: Network) -> np.ndarray:
+    """Rows (half, secret, step, count) of the logits of all windows (seen, secret, place), at most ``4 * FINE * 2 * FAR`` of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            z = np.clip(network.logits(codes_of(batch.column(1).to_pylist())), -FAR, FAR)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int64()), pa.array(np.floor(z * FINE).astype(np.int64))], names=["half", "secret", "step"])
+
+    rows = windows.select(F.pmod("place", F.lit(2)).alias("half"), "seen", "secret").mapInArrow(releasing(run), "half long, secret long, step long").groupBy("half", "secret", "step").count()
+    return np.array(sorted(tuple(r) for r in rows.collect()), np.int64).reshape(-1, 4)
+
+
+@lru_cache(maxsize=4)
+def _made(count: int, seed: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Made findings to train on and to calibrate with, in any order."""
+    order = np.random.default_rng(seed).permutation(count)
+    return tuple((codes[order], y[order]) for codes, y in (labelled_findings(count, seed), labelled_findings(count, seed + 1)))
 
-    Documents are split: one half of them trains, the other calibrates and sets
-    the threshold, each with its own made findings. An empty table leaves the
-    made ones.
-    """
-    found = labelled_windows(df, bound, id_col, text_col)
 
-    def with_made(part: int) -> tuple[np.ndarray, np.ndarray]:
-        codes, y = labelled_findings(count, seed + part)
-        own = [(w, label) for name, w, label in found if zlib.crc32(name.encode()) % 2 == part]
-        own = own if len(own) <= count else random.Random(seed).sample(own, count)
-        if own:
-            codes, y = np.concatenate([codes, codes_of([w for w, _ in own])]), np.concatenate([y, np.array([label for _, label in own], np.float32)])
-        order = np.random.default_rng(seed).permutation(len(y))
-        return codes[order], y[order]
+@lru_cache(maxsize=4)
+def _started(count: int, least_recall: float, seed: int) -> Scanner:
+    return fitted(*_made(count, seed), least_recall)
 
-    return fitted(with_made(0), with_made(1), least_recall)
 
+def trained_on(df: DataFrame, count: int = 3000, least_recall: float = 0.98, seed: int = 5, text_col: str = "text") -> Scanner:
+    """A scanner from made findings and all labelled ones of ``df``.
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    Distinct windows of all documents are dealt by their hash. One half trains
+    the network that the made findings have begun: in each round every part of it
+    trains a network of its own, and their mean goes on. The other half is
+    scored and counted by logit; half of these counts calibrate, where both
+    labels weigh as much as in the made findings, and the rest sets the threshold:
+    the highest that finds ``least_recall`` of the made secrets and of the
+    table's. A table without labelled windows leaves the made ones.
+    """
+    began = _started(count, least_recall, seed)
+    written = Table(labelled_windows(df, text_col).withColumn("hash", F.xxhash64("seen")), "windows", narrow=True)
+    side = lambda k: written.df.where(F.pmod("hash", F.lit(2)) == k).select("seen", "secret", F.shiftright("hash", 1).alias("place"))
+    made, hold = _made(count, seed)
+    network, n = began.network, side(0).count()
+    for number in range(ROUNDS if n else 0):
+        network = _round(side(0), network, min(PARTS, -(-n // PART)), number, made, 1e-3 * (1 - number / (ROUNDS + 1)))
+    counts = _counted(side(1), network)
+    written.drop()
+    if not n and not len(counts):
+        return began
+    codes, y = hold
+    half, z, y = len(y) // 2, network.logits(codes).astype(float), y.astype(float)
+    first, rest = (counts[counts[:, 0] == k] for k in (0, 1))
+    weight = first[:, 3].astype(float)
+    for label in (0, 1):
+        own = first[:, 1] == label
+        weight[own] *= (y[:half] == label).sum() / max(weight[own].sum(), 1)
+    scale, shift = _calibrated(np.r_[z[:half], (first[:, 2] + 0.5) / FINE], np.r_[y[:half], first[:, 1]], np.r_[np.ones(half), weight])
+    secret = np.sort(z[half:][y[half:] > 0])
+    least = secret[int(len(secret) * (1 - least_recall))]
+    rest = rest[rest[:, 1] > 0]
+    if len(rest):
+        before = np.cumsum(rest[:, 3]) - rest[:, 3]
+        least = min(least, rest[np.flatnonzero(before <= rest[:, 3].sum() * (1 - least_recall))[-1], 2] / FINE)
+    return Scanner(network, scale, shift, float(1 / (1 + np.exp(-np.clip(scale * least + shift, -30, 30)))))
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Logistic calibration, by Newton's method on evened-out targets."""
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    weight = np.broadcast_to(weight, z.shape)
+    yes, no = (weight * y).sum(), (weight * (1 - y)).sum()
+    target = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
     x, w = np.stack([z, np.ones_like(z)], axis=1), np.array([1.0, 0.0])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (target - p) - 1e-3 * (w - [1, 0]))
+        w += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (weight * (target - p)) - 1e-3 * (w - [1, 0]))
     return float(w[0]), float(w[1])
 
 
@@ -436,9 +536,9 @@ def scan(df: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id",
     an empty array. Texts are read whole, however long they and their tokens are.
     Repeated rows and null ids pass through; an empty table gives none; other
     columns are ignored. Without a ``scanner`` one is trained on made findings and
-    those of a bounded sample of ``df``.
+    those of all of ``df``.
     """
-    scanner = scanner or trained_on(df, id_col=id_col, text_col=text_col)
+    scanner = scanner or trained_on(df, text_col=text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -456,7 +556,7 @@ def listed(spans: Column) -> Column:
 
 def redacted(df: DataFrame, scanner: Scanner | None = None, text_col: str = "text", mark: str = "[SECRET]", id_col: str = "doc_id") -> DataFrame:
     """``df`` with every found span, overlapping ones as one, replaced by ``mark``. Other columns, null ids and texts, and repeated rows stay; an empty table stays empty. The scanner is that of ``scan``."""
-    scanner = scanner or trained_on(df, id_col=id_col, text_col=text_col)
+    scanner = scanner or trained_on(df, text_col=text_col)
 
     @F.pandas_udf("string")
     def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:

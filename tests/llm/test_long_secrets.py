@@ -83,6 +83,23 @@ def test_training_on_nothing_and_on_odd_rows(no_docs, odd_docs):
     assert 0 < secrets.trained_on(odd_docs).threshold < 1
 
 
+def test_all_documents_are_learned_from(spark):
+    """Every labelled window of every text counts: none is left out beyond a number of documents, or of windows of one."""
+    rows = [(i, f"see page build-{i:05}.1 and invoice AB-2020-{i:06} then") for i in range(4500)] + [(4500, " ".join(f"order release-{i:04}.7 x" for i in range(50))), (4501, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {f for _, t in rows for f in secrets.text_findings(t or "")}
+    assert {(bytes(r.seen), r.secret) for r in secrets.labelled_windows(df).collect()} == expected
+    assert len(expected) > 9000
+
+
+def test_rounds_are_means_of_parts_and_repeat(spark):
+    texts = [f"see page build-{i:05}.1 and password = pw{i:05}kd9 then" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = (secrets.trained_on(d) for d in (df.repartition(1), df.repartition(5)))
+    assert np.array_equal(one.network.packed(), two.network.packed()) and (one.scale, one.shift, one.threshold) == (two.scale, two.shift, two.threshold)
+    assert not np.array_equal(one.network.packed(), secrets._started(3000, 0.98, 5).network.packed())
+
+
 def test_planted_tokens_through_the_scan(spark):
     rows = [(1, f"plain words then {PATH}{KEY} end"), (2, "plain words alone"), (3, None), (4, f"client credential = '{KEY}' ok")]
     spans = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
